@@ -21,16 +21,16 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import chunks
+
 #: Texts up to so many characters are encoded in one piece; pieces of longer texts have this size.
 LEAF_CHARS = 16_384
 #: First half-width, in characters, of the window around a join.
 WINDOW_CHARS = 48
-#: Bytes that go to the encoder at once.
-BATCH_BYTES = 2_000_000
 
 
 class TreeEncoder:
@@ -149,13 +149,6 @@ class TreeEncoder:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
 
-def _batches(frame: pd.DataFrame, text_col: str) -> Iterator[pd.DataFrame]:
-    """Runs of rows with about BATCH_BYTES of text."""
-    size = frame[text_col].str.len().to_numpy().cumsum() // BATCH_BYTES
-    for _, part in frame.groupby(size, sort=False):
-        yield part
-
-
 def encode_decode(
     docs: DataFrame,
     tokenizer_path: str,
@@ -176,24 +169,22 @@ def encode_decode(
     kind = dict(docs.dtypes)[id_col]
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<long>, decoded string"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = TreeEncoder(tokenizer_path, leaf_chars, window_chars)
-        for frame in frames:
-            for part in _batches(frame, "text"):
-                ids = enc.encode(part["text"].tolist())
+        for whole in batches:
+            for a, b in chunks(whole.column("text")):
+                part = whole.slice(a, b - a)
+                ids = enc.encode(part.column("text").to_pylist())
                 decoded = enc.decode([x.tolist() for x in ids])
-                out = pd.DataFrame({"id": part["id"]})
                 if digests:
-                    out["n_tokens"] = [len(x) for x in ids]
-                    out["ids_sha256"] = [hashlib.sha256(x.tobytes()).hexdigest() for x in ids]
-                    out["decoded_sha256"] = [hashlib.sha256(t.encode()).hexdigest() for t in decoded]
+                    sums = [hashlib.sha256(x.tobytes()).hexdigest() for x in ids], [hashlib.sha256(t.encode()).hexdigest() for t in decoded]
+                    more = {"n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids_sha256": pa.array(sums[0], pa.string()), "decoded_sha256": pa.array(sums[1], pa.string())}
                 else:
-                    out["ids"] = [x.astype("int64") for x in ids]
-                    out["decoded"] = decoded
-                yield out
+                    more = {"ids": pa.array([x.astype("int64") for x in ids], pa.list_(pa.int64())), "decoded": pa.array(decoded, pa.string())}
+                yield pa.RecordBatch.from_arrays([part.column("id"), *more.values()], ["id", *more])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = rows.mapInPandas(run, f"id {kind}, {more}")
+    out = rows.mapInArrow(run, f"id {kind}, {more}")
     return out.withColumnRenamed("id", id_col)
 
 

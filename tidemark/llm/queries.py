@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, exact_dedup
+from tidemark.llm import bpe, exact_dedup, langid
 
 
 def queries() -> dict:
-    return {"op2_exact_dedup": exact_dedup.op2_exact_dedup, "op5_bpe": bpe.op5_bpe}
+    return {"op2_exact_dedup": exact_dedup.op2_exact_dedup, "op4_language_id": langid.op4_language_id, "op5_bpe": bpe.op5_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
