@@ -11,13 +11,16 @@ That is exact: a sequence of BPE tokens is the encoding of its text if each pair
 the encoding of the pair's own text, and here each pair of neighbours stands in an encoding that
 was made whole. Cuts are made in the normalised text, so normalisation never sees a window.
 
-Only one document is ever held by a task; there is no shuffle.
+A text of at most LEAF_CHARS characters is split at ASCII white space, which no token spans and
+no normalisation crosses; its words' ids come from a table of words seen before (at most
+twice CACHE_WORDS) or from the tokenizer. Only a batch of documents is held by a task; there is no shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.arrow import bounded_batches
 from tidemark.llm.words import chunks
 
 #: Texts up to so many characters are encoded in one piece; pieces of longer texts have this size.
 LEAF_CHARS = 16_384
+#: Text bytes that are encoded before their rows are handed on.
+BATCH_BYTES = 500_000
+#: Words whose ids a worker keeps, and as many again of those used before.
+CACHE_WORDS = 300_000
 #: First half-width, in characters, of the window around a join.
 WINDOW_CHARS = 48
 
@@ -49,17 +57,25 @@ class TreeEncoder:
         suffix = spec["model"].get("end_of_word_suffix") or ""
         self.n_bytes = {i: len(t.removesuffix(suffix)) for t, i in spec["model"]["vocab"].items()}
         self.leaf, self.window = leaf_chars, window_chars
+        self.known: dict[bytes, bytes] = {}  # and those seen before these
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        short = [i for i, t in enumerate(texts) if len(t) <= self.leaf]
-        out: list[np.ndarray] = [np.empty(0, "<u4")] * len(texts)
-        for i, e in zip(short, self.whole.encode_batch_fast([texts[i] for i in short], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4")
-        for i, t in enumerate(texts):
-            if len(t) > self.leaf:
-                out[i] = self._long(t)
-        return out
+        words = [() if len(t) > self.leaf else t.encode().split() for t in texts]
+        if new := set().union(*words).difference(self.known):
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.known, self.older = {}, self.known
+                new = set().union(*words)
+            again = new & self.older.keys()
+            self.known.update((w, self.older[w]) for w in again)
+            new = list(new - again)
+            found = self.whole.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+            self.known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+        return [self._long(t) if len(t) > self.leaf else np.frombuffer(b"".join(map(self.known.__getitem__, w)), "<u4") for t, w in zip(texts, words, strict=True)]
+
+    def _normalized(self, text: str) -> str:
+        return self.whole.normalizer.normalize_str(text) if self.whole.normalizer else text
 
     def _long(self, text: str) -> np.ndarray:
         parts: list[list[int]] = []
@@ -67,7 +83,7 @@ class TreeEncoder:
             if special is not None:
                 parts.append([special])
             elif piece:
-                parts.append([x[2] for x in self.tree(self.whole.normalizer.normalize_str(piece) if self.whole.normalizer else piece)])
+                parts.append([x[2] for x in self.tree(self._normalized(piece))])
         return np.array([i for p in parts for i in p], "<u4")
 
     def _segments(self, text: str) -> Iterator[tuple[str, int | None]]:
@@ -149,6 +165,17 @@ class TreeEncoder:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
 
+_ENCODERS: dict[tuple, TreeEncoder] = {}
+
+
+def encoder(tokenizer_path: str, leaf_chars: int, window_chars: int) -> TreeEncoder:
+    """The worker's encoder; it outlives a task, and so do the words that it knows."""
+    key = (tokenizer_path, leaf_chars, window_chars)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = TreeEncoder(*key)
+    return _ENCODERS[key]
+
+
 def encode_decode(
     docs: DataFrame,
     tokenizer_path: str,
@@ -167,12 +194,14 @@ def encode_decode(
     other columns are ignored. The tokenizer file has to be at the same path on every worker.
     """
     kind = dict(docs.dtypes)[id_col]
+    bounded_batches(docs.sparkSession)
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<long>, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = TreeEncoder(tokenizer_path, leaf_chars, window_chars)
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"  # for the pieces of long texts
+        enc = encoder(tokenizer_path, leaf_chars, window_chars)
         for whole in batches:
-            for a, b in chunks(whole.column("text")):
+            for a, b in chunks(whole.column("text"), BATCH_BYTES):
                 part = whole.slice(a, b - a)
                 ids = enc.encode(part.column("text").to_pylist())
                 decoded = enc.decode([x.tolist() for x in ids])

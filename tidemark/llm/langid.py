@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.arrow import bounded_batches
 from tidemark.llm.words import mix
 
 BUCKETS = 1 << 16
@@ -139,6 +140,7 @@ def identify(
     same answer each; an empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     langs, p = train(docs.where(train_rows), id_col, text_col, lang_col, sample_docs)
     model = spark.sparkContext.broadcast((langs, p))
     kinds = dict(docs.dtypes)

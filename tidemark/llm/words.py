@@ -51,12 +51,12 @@ def powers(n: int, r: int) -> np.ndarray:
     return _POWERS[r][: n + 1]
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of rows with about CHUNK_BYTES of text."""
+def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows with about ``size`` bytes of text."""
     ends = np.frombuffer(texts.buffers()[1], np.int32 if texts.type == pa.string() else np.int64, len(texts) + 1 + texts.offset)[texts.offset :].astype(np.int64)
     a = 0
     while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(ends, ends[a] + CHUNK_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + size, "right")) - 1)
         yield a, min(b, len(texts))
         a = b
 
