@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,16 +32,57 @@ from pyspark.sql import functions as F
 from tidemark.llm.arrow import bounded_batches
 from tidemark.llm.words import chunks
 
-#: Texts up to so many characters are encoded in one piece; pieces of longer texts have this size.
+#: Texts up to so many characters are encoded in one piece; longer ones in pieces of so many bytes.
 LEAF_CHARS = 16_384
 #: Text bytes that are encoded before their rows are handed on.
 BATCH_BYTES = 500_000
-#: Words whose ids a worker keeps, and as many again of those used before.
-CACHE_WORDS = 300_000
-#: First half-width, in characters, of the window around a join.
+#: Words whose ids a table keeps, and as many again of those used before.
+CACHE_WORDS = 200_000
+#: First half-width, in bytes, of the window around a join.
 WINDOW_CHARS = 48
 
 
+#: A full stop or comma after an ASCII letter and before white space is a token run of its own.
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \t-\r]|$)")
+
+
+class WordTable:
+    """Ids of words (runs between white space) under one tokenizer, kept in two generations."""
+
+    def __init__(self, tokenizer, ends: np.ndarray) -> None:
+        self.tokenizer, self.ends = tokenizer, ends
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts that are lower-cased as to A-Z."""
+        words = [_STOP.sub(rb" \1", t).split() for t in texts]
+        if new := set().union(*words).difference(self.known):
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.known, self.older = {}, self.known
+                new = set().union(*words)
+            again = new & self.older.keys()
+            self.known.update((w, self.older[w]) for w in again)
+            self._learn(list(new - again))
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, w)), "<u4") for w in words]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Plain ASCII words go to the tokenizer as one text: each ends where a token ends a word."""
+        plain = [w for w in words if w.isalpha()]  # of bytes: ASCII letters only
+        if plain:
+            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) == len(plain):
+                raw, cuts = ids.tobytes(), cuts.tolist()
+                self.known.update(zip(plain, (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+            else:
+                plain = []
+        rest = [w for w in words if not w.isalpha()] if plain else words
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+        self.known.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+
+
 class TreeEncoder:
     """Encodes as ``Tokenizer.encode(text, add_special_tokens=False)`` of the file does."""
 
@@ -54,37 +96,38 @@ class TreeEncoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         # The same model on text that is already normalised and holds no special token.
         self.plain = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "normalizer": None, "truncation": None, "padding": None}))
-        suffix = spec["model"].get("end_of_word_suffix") or ""
-        self.n_bytes = {i: len(t.removesuffix(suffix)) for t, i in spec["model"]["vocab"].items()}
+        suffix, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
+        top = max([*vocab.values(), *self.special.values()]) + 1
+        #: Bytes of text of each id, and whether it ends a word. Each character of a token is a byte.
+        self.n_bytes, ends = np.zeros(top, np.int64), np.zeros(top, bool)
+        for token, i in vocab.items():
+            self.n_bytes[i], ends[i] = len(token.removesuffix(suffix)), token.endswith(suffix)
+        self.raw_words, self.plain_words = WordTable(self.whole, ends), WordTable(self.plain, ends)
         self.leaf, self.window = leaf_chars, window_chars
-        self.known: dict[bytes, bytes] = {}  # and those seen before these
-        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        words = [() if len(t) > self.leaf else t.encode().split() for t in texts]
-        if new := set().union(*words).difference(self.known):
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known, self.older = {}, self.known
-                new = set().union(*words)
-            again = new & self.older.keys()
-            self.known.update((w, self.older[w]) for w in again)
-            new = list(new - again)
-            found = self.whole.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            self.known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
-        return [self._long(t) if len(t) > self.leaf else np.frombuffer(b"".join(map(self.known.__getitem__, w)), "<u4") for t, w in zip(texts, words, strict=True)]
-
-    def _normalized(self, text: str) -> str:
-        return self.whole.normalizer.normalize_str(text) if self.whole.normalizer else text
+        out: list = [None] * len(texts)
+        short = []
+        for i, t in enumerate(texts):
+            if len(t) > self.leaf:
+                out[i] = self._long(t)
+            elif any(map(t.lower().__contains__, self.special)):
+                out[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4")
+            else:
+                short.append(i)
+        for i, ids in zip(short, self.raw_words.encode([texts[i].encode().lower() for i in short]), strict=True):
+            out[i] = ids
+        return out
 
     def _long(self, text: str) -> np.ndarray:
-        parts: list[list[int]] = []
+        parts = []
         for piece, special in self._segments(text):
             if special is not None:
-                parts.append([special])
+                parts.append(np.array([special], "<u4"))
             elif piece:
-                parts.append([x[2] for x in self.tree(self._normalized(piece))])
-        return np.array([i for p in parts for i in p], "<u4")
+                parts.append(self.tree(self.whole.normalizer.normalize_str(piece) if self.whole.normalizer else piece))
+        return np.concatenate(parts) if parts else np.empty(0, "<u4")
 
     def _segments(self, text: str) -> Iterator[tuple[str, int | None]]:
         """Text between special tokens, and these; the leftmost goes first, of those the longest."""
@@ -99,68 +142,83 @@ class TreeEncoder:
             yield "", self.special[s]
             at = p + len(s)
 
-    # Tokens below are (start, end, id), in characters of the normalised text.
-
-    def tree(self, text: str) -> list[tuple[int, int, int]]:
-        """Tokens of a normalised text."""
-        bounds = self._halves(0, len(text))
-        encoded = self.plain.encode_batch([text[a:b] for a, b in bounds], add_special_tokens=False)
-        level = [(a, b, [(a + s, a + e, i) for (s, e), i in zip(x.offsets, x.ids, strict=True)]) for (a, b), x in zip(bounds, encoded, strict=True)]
+    def tree(self, text: str) -> np.ndarray:
+        """Ids of a normalised text. Places below are in its bytes."""
+        raw = text.encode()
+        bounds = self._halves(raw)
+        level = list(zip(bounds, bounds[1:], self._leaves([raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]), strict=False))
         while len(level) > 1:
-            paired = [(x[0], y[1], self._join(text, x, y)) for x, y in zip(level[::2], level[1::2], strict=False)]
-            level = paired + ([level[-1]] if len(level) % 2 else [])
+            level = [(x[0], y[1], self._join(raw, x, y)) for x, y in zip(level[::2], level[1::2], strict=True)]
         return level[0][2]
 
-    def _halves(self, a: int, b: int) -> list[tuple[int, int]]:
-        """Equal pieces, a power of two of them, none longer than a leaf."""
+    def _leaves(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Pieces with spaces go word by word; unsplit ones go to the library's threads together."""
+        out = dict(enumerate(self.plain_words.encode([p if b" " in p else b"" for p in pieces])))
+        unsplit = [i for i, p in enumerate(pieces) if p and b" " not in p]
+        found = self.plain.encode_batch_fast([pieces[i].decode() for i in unsplit], add_special_tokens=False)
+        out.update(zip(unsplit, (np.array(e.ids, "<u4") for e in found), strict=True))
+        return [out[i] for i in range(len(pieces))]
+
+    def _halves(self, raw: bytes) -> list[int]:
+        """Bounds of equal pieces, a power of two of them, none longer than a leaf."""
         n = 1
-        while (b - a) > n * self.leaf:
+        while len(raw) > n * self.leaf:
             n *= 2
-        cuts = [a + (b - a) * k // n for k in range(n + 1)]
-        return list(zip(cuts, cuts[1:], strict=False))
-
-    def _whole_chars(self, text: str, token: tuple[int, int, int]) -> bool:
-        """Whether the token's bytes are those of its characters: it doesn't split a character."""
-        return self.n_bytes[token[2]] == len(text[token[0] : token[1]].encode())
-
-    def _join(self, text: str, left: tuple, right: tuple) -> list[tuple[int, int, int]]:
+        return [self._char_start(raw, len(raw) * k // n) for k in range(n + 1)]
+
+    @staticmethod
+    def _char_start(raw: bytes, at: int) -> int:
+        """The place itself, or else the start of the character that it lies in."""
+        while 0 < at < len(raw) and raw[at] & 0xC0 == 0x80:
+            at -= 1
+        return at
+
+    def _forward(self, raw: bytes, at: int, stop: int, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """``(start, end, id)`` of the first ids up to ``stop``. Only spaces lie between tokens."""
+        out = []
+        for i, n in zip(ids.tolist(), self.n_bytes[ids].tolist(), strict=True):
+            while at < len(raw) and raw[at] == 32:
+                at += 1
+            if at + n > stop:
+                break
+            out.append((at, at + n, i))
+            at += n
+        return out
+
+    def _backward(self, raw: bytes, at: int, stop: int, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """The same for the last ids down to ``stop``, last one first."""
+        out = []
+        for k in range(len(ids) - 1, -1, -1):
+            while at > 0 and raw[at - 1] == 32:
+                at -= 1
+            n = int(self.n_bytes[ids[k]])
+            if at - n < stop:
+                break
+            out.append((at - n, at, int(ids[k])))
+            at -= n
+        return out
+
+    def _join(self, raw: bytes, left: tuple, right: tuple) -> np.ndarray:
         (a, cut, x), (_, b, y) = left, right
         width = self.window
         while True:
-            lo, hi = max(a, cut - width), min(b, cut + width)
-            e = self.plain.encode(text[lo:hi], add_special_tokens=False)
-            mid = [(lo + s, lo + t, i) for (s, t), i in zip(e.offsets, e.ids, strict=True)]
+            lo, hi = self._char_start(raw, max(a, cut - width)), self._char_start(raw, min(b, cut + width))
+            mid = np.array(self.plain.encode(raw[lo:hi].decode(), add_special_tokens=False).ids, "<u4")
             if lo == a and hi == b:
                 return mid
-            start = (-1, -1) if lo == a else self._last_agreement(text, x, mid, cut)
-            stop = (len(y), len(mid)) if hi == b else self._first_agreement(text, y, mid, cut)
-            if start and stop and start[1] < stop[1]:
-                head = x[: start[0] + 1] if lo > a else []
-                return head + mid[start[1] + 1 : stop[1]] + y[stop[0] :]
+            at = {t: k for k, t in enumerate(self._forward(raw, lo, hi, mid))}
+            start, stop = (0, 0), (len(y), len(mid))
+            if lo > a:
+                tail = self._backward(raw, cut, lo, x)
+                # Not the half's last token, which may end there only because of the cut.
+                start = next(((len(x) - k, at[t] + 1) for k, t in enumerate(tail[:-1]) if t[1] < cut and at.get(t, 0) > 0 and at.get(tail[k + 1]) == at[t] - 1), None)
+            if hi < b:
+                head = self._forward(raw, cut, hi, y)
+                stop = next(((k, at[t]) for k, t in enumerate(head[:-1]) if t[0] > cut and t in at and at[t] + 2 < len(mid) and at.get(head[k + 1]) == at[t] + 1), None)
+            if start and stop and start[1] <= stop[1]:
+                return np.concatenate((x[: start[0]], mid[start[1] : stop[1]], y[stop[0] :]))
             width *= 2
 
-    def _last_agreement(self, text: str, x: list, mid: list, cut: int) -> tuple[int, int] | None:
-        """Places in ``x`` and ``mid`` of the second of two shared neighbours, nearest to the cut."""
-        at = {t: i for i, t in enumerate(mid)}
-        for i in range(len(x) - 2, 0, -1):
-            if x[i][0] < mid[0][0] if mid else True:
-                return None
-            j = at.get(x[i])
-            if j and x[i][1] < cut and mid[j - 1] == x[i - 1] and self._whole_chars(text, x[i]) and self._whole_chars(text, x[i - 1]):
-                return i, j
-        return None
-
-    def _first_agreement(self, text: str, y: list, mid: list, cut: int) -> tuple[int, int] | None:
-        """Places in ``y`` and ``mid`` of the first of two shared neighbours, nearest to the cut."""
-        at = {t: i for i, t in enumerate(mid)}
-        for i in range(1, len(y) - 1):
-            if y[i][1] > mid[-1][1] if mid else True:
-                return None
-            j = at.get(y[i])
-            if j is not None and j + 2 < len(mid) and y[i][0] > cut and mid[j + 1] == y[i + 1] and self._whole_chars(text, y[i]) and self._whole_chars(text, y[i + 1]):
-                return i, j
-        return None
-
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
