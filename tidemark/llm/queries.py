@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, exact_dedup, langid
+from tidemark.llm import bpe, exact_dedup, langid, toxicity
 
 
 def queries() -> dict:
-    return {"op2_exact_dedup": exact_dedup.op2_exact_dedup, "op4_language_id": langid.op4_language_id, "op5_bpe": bpe.op5_bpe}
+    return {"op2_exact_dedup": exact_dedup.op2_exact_dedup, "op4_language_id": langid.op4_language_id, "op5_bpe": bpe.op5_bpe, "op7_toxicity": toxicity.op7_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
