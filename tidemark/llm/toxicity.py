@@ -19,7 +19,6 @@ and ``ORDINARY`` times as many others, by a hash of the id. The two dictionaries
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import bounded_batches
 from tidemark.llm.langid import fold
+from tidemark.llm.words import mix
 
 #: Toxic documents that the model is fitted on, about.
 SAMPLE_DOCS = 4000
@@ -116,29 +116,39 @@ def window(word: bytes) -> bytes:
     return b"<<<" + word.hex().encode() + b">>>"
 
 
-def places(texts: list[str]) -> Counter:
-    """For each word the number of distinct (word before, word, word after)."""
-    seen = set()
+def places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Words, by ``hash``, and for each the number of distinct (word before, word, word after)."""
+    parts = []
     for t in texts:
-        w = [b"", *words(t), b""]
-        seen.update(zip(w[1:-1], w[:-2], w[2:], strict=True))
-    return Counter(x[0] for x in seen)
+        h = np.fromiter((hash(w) for w in (b"", *words(t), b"")), np.int64).astype(np.uint64)
+        parts.append(np.stack((h[1:-1], mix(h[1:-1] ^ mix(h[:-2]) ^ mix(mix(h[2:]))))))
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    both = np.concatenate(parts, axis=1)
+    first = np.unique(both[1], return_index=True)[1]
+    return np.unique(both[0][first], return_counts=True)
 
 
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """Contents of the two dictionaries, the weightiest words last, where matches are cheapest."""
-    a, b = places(toxic), places(ordinary)
-    na, nb = max(1, sum(a.values())), max(1, sum(b.values()))
-    ratio = {}
-    for w, x in a.items():
-        y = b.get(w, 0)
-        if x >= 3 and x / na > 2 * y / nb:
-            share = (x + y) / (na + nb)
-            ratio[w] = 2 * (x * np.log(x / (na * share)) + (y * np.log(y / (nb * share)) if y else 0))
-    picked = sorted((w for w, r in ratio.items() if r >= MIN_RATIO), key=lambda w: (ratio[w], w))
-    mine = b"".join(map(window, picked))[-DICT_BYTES:]
-    common = sorted((w for w in b if w not in ratio), key=lambda w: (b[w], w))[-DICT_BYTES // 8 :]
-    return mine, b"".join(map(window, common))[-len(mine) :] if mine else b""
+    (wa, x), (wb, nb) = places(toxic), places(ordinary)
+    at = np.minimum(np.searchsorted(wb, wa), max(0, len(wb) - 1))
+    y = np.where(wb[at] == wa, nb[at], 0) if len(wb) else np.zeros(len(wa), np.int64)
+    a, b = max(1, x.sum()), max(1, nb.sum())
+    share = (x + y) / (a + b)
+    ratio = 2 * (x * np.log(x / (a * share)) + y * np.log(np.maximum(y, 1) / (b * share)))
+    pick = (x >= 3) & (x / a > 2 * y / b) & (ratio >= MIN_RATIO)
+    weight = dict(zip(wa[pick].tolist(), ratio[pick].tolist(), strict=True))
+    mine = b"".join(map(window, _spelled(toxic, weight)))[-DICT_BYTES:]
+    usual = np.argsort(nb, kind="stable")[-DICT_BYTES // 8 :]
+    common = {k: n for k, n in zip(wb[usual].tolist(), nb[usual].tolist(), strict=True) if k not in weight}
+    return mine, b"".join(map(window, _spelled(ordinary, common)))[-len(mine) :] if mine else b""
+
+
+def _spelled(texts: list[str], weight: dict[int, float]) -> list[bytes]:
+    """The words with these hashes, lightest first."""
+    found = {w: weight[h] for t in texts for w in words(t) if (h := hash(w) & 0xFFFFFFFFFFFFFFFF) in weight}
+    return sorted(found, key=lambda w: (found[w], w))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
