@@ -31,9 +31,9 @@ from tidemark.llm.langid import fold
 from tidemark.llm.words import mix
 
 #: Toxic documents that the model is fitted on, about.
-SAMPLE_DOCS = 4000
+SAMPLE_DOCS = 2000
 #: So many ordinary documents for each toxic one.
-ORDINARY = 3
+ORDINARY = 2
 #: Bytes of each dictionary.
 DICT_BYTES = 100_000
 #: Words with a smaller log-likelihood ratio stay out of the toxic dictionary.
