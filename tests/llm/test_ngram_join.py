@@ -1,0 +1,96 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from tidemark.llm import graph
+from tidemark.llm import ngram_join as J
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text, k):
+    w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOW))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def brute(rows, k, percent):
+    s = [shingles(t, k) for _, t in rows]
+    up, deg = list(range(len(rows))), [0] * len(rows)
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(s[a] & s[b])
+            if both and 100 * both >= percent * (len(s[a]) + len(s[b]) - both):
+                up[root(a)] = root(b)
+                deg[a] += 1
+                deg[b] += 1
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return sorted(((d, len(s[i]), least.get(root(i)), deg[i]) for i, (d, _) in enumerate(rows)), key=repr)
+
+
+def made(seed, n=160):
+    r = random.Random(seed)
+    rows = []
+    passage = [f"p{i}" for i in range(40)]
+    for g in range(n // 8):
+        base = [r.choice("abcdefghij") + str(r.randrange(40)) for _ in range(r.choice([2, 3, 8, 30, 120, 300]))]
+        for _ in range(8):
+            t = list(base)
+            for _ in range(r.choice([0, 0, 1, 1, 2, 4])):
+                t[r.randrange(len(t))] = "x" + str(r.randrange(999))
+            if r.random() < 0.3:
+                at = r.randrange(len(t) + 1)
+                t[at:at] = passage
+            rows.append((len(rows) * 7 % 1009, " ".join(t).title() if r.random() < 0.2 else "\n".join(t)))
+    return rows + [(5000, None), (5001, ""), (5002, " \t"), (None, "a b c d"), (None, "a b c d"), (5003, "a b c d"), (5004, "é"), (5005, "É"), (5006, "é"), (5006, "é")]
+
+
+@pytest.mark.parametrize(("k", "percent", "seed"), [(3, 90, 1), (5, 80, 2), (3, 50, 3)])
+def test_brute_force(spark, k, percent, seed):
+    rows = made(seed)
+    df = spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id long, text string, n long, set string")
+    out = J.jaccard_join(df, words=k, percent=percent)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out.collect()), key=repr) == brute(rows, k, percent)
+
+
+def test_small_blocks(spark, monkeypatch):
+    rows = made(4, 80)
+    monkeypatch.setattr(J, "CLUSTER_SETS", 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = J.jaccard_join(df, words=3, percent=90)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out.collect()), key=repr) == brute(rows, 3, 90)
+
+
+def test_empty(spark):
+    assert J.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bitmaps_bound_the_difference():
+    r = np.random.default_rng(0)
+    for n, m in ((100, 100), (700, 640), (3000, 2900)):
+        a = np.unique(r.integers(0, 1 << 60, n).astype(np.uint64))
+        b = np.unique(np.r_[a[: m // 2], r.integers(0, 1 << 60, m // 2).astype(np.uint64)])
+        x, y = (np.frombuffer(J.bitmap(t, 90), np.uint64)[None] for t in (a, b))
+        size = min(x.shape[1], y.shape[1])
+        apart = np.bitwise_count(J.fold_bits(x, size) ^ J.fold_bits(y, size)).sum()
+        assert apart <= len(np.setxor1d(a, b))
+
+
+def test_components(spark):
+    r = random.Random(0)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
+    forest = graph.Forest()
+    for a, b in edges:
+        forest.join(a, b)
+    got = {x.node: x.component for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: forest.root(x) for a, b in edges if a != b for x in (a, b)}
