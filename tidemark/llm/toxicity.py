@@ -242,16 +242,19 @@ def score_toxicity(
 
 
 def _sampled(docs: DataFrame, marks: DataFrame, sample_docs: int) -> DataFrame:
-    """Labelled documents, thinned by label before the join so that few texts are shuffled."""
+    """Labelled documents, thinned by label before the join, so that no text is shuffled.
+
+    Not every label has a row of ``docs``, so twice the sample is kept for each class: the
+    broadcast side has about 4 * ORDINARY * sample_docs ids at most.
+    """
+    most = 2 * ORDINARY * sample_docs
+    marks = marks.where(F.col("_label").cast("int").isin(0, 1))
     sizes = {r._label: r.n for r in marks.groupBy("_label").agg(F.count("*").alias("n")).collect()}
-    few = max(sizes.values(), default=0)
-    rarest = min(sizes.values(), default=0)
-    # Not every label has a row of docs here: keep four times the sample for each class.
     share = F.lit(1.0)
     for label, n in sizes.items():
-        share = F.when(F.col("_label") == label, min(1.0, 4 * ORDINARY * sample_docs / n)).otherwise(share)
-    picked = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share * (1 << 20)) if few > 4 * ORDINARY * sample_docs and rarest else marks
-    return docs.join(picked, F.col("_doc") == F.col("_id")).drop("_id")
+        share = F.when(F.col("_label") == label, min(1.0, most / n)).otherwise(share)
+    picked = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share * (1 << 20))
+    return docs.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).drop("_id")
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
