@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, exact_dedup, langid, lattice, lm, ngram_join, toxicity
+from tidemark.llm import bpe, exact_dedup, langid, lattice, lm, ngram_join, substring, toxicity
 
 
 def queries() -> dict:
-    return {"op1_lattice_dedup": lattice.op1_lattice_dedup, "op2_exact_dedup": exact_dedup.op2_exact_dedup, "op4_language_id": langid.op4_language_id, "op5_bpe": bpe.op5_bpe, "op7_toxicity": toxicity.op7_toxicity, "op9_ngram_join": ngram_join.op9_ngram_join, "op10_lm_score": lm.op10_lm_score}
+    return {"op1_lattice_dedup": lattice.op1_lattice_dedup, "op2_exact_dedup": exact_dedup.op2_exact_dedup, "op4_language_id": langid.op4_language_id, "op5_bpe": bpe.op5_bpe, "op6_substring_dedup": substring.op6_substring_dedup, "op7_toxicity": toxicity.op7_toxicity, "op9_ngram_join": ngram_join.op9_ngram_join, "op10_lm_score": lm.op10_lm_score}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -61,16 +61,19 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
         a = b
 
 
-def hash_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(hashes, bounds)``: words of row i are ``hashes[bounds[i]:bounds[i + 1]]``. Nulls have none."""
+def locate_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(hashes, bounds, starts, ends, raw, offsets)``: also where words are in the rows' joined bytes ``raw``.
+
+    Row i has the words ``bounds[i]:bounds[i + 1]`` and the bytes ``offsets[i]:offsets[i + 1]``.
+    """
     n = len(texts)
-    if n == 0:
-        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+    none = np.empty(0, np.int64)
     if texts.null_count:
         texts = texts.fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], np.int32 if texts.type == pa.string() else np.int64, n + 1 + texts.offset)[texts.offset :].astype(np.int64)
-    if texts.buffers()[2] is None or offsets[-1] == offsets[0]:
-        return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
+    if n:
+        offsets = np.frombuffer(texts.buffers()[1], np.int32 if texts.type == pa.string() else np.int64, n + 1 + texts.offset)[texts.offset :].astype(np.int64)
+    if n == 0 or texts.buffers()[2] is None or offsets[-1] == offsets[0]:
+        return np.empty(0, np.uint64), np.zeros(n + 1, np.int64), none, none, np.empty(0, np.uint8), np.zeros(n + 1, np.int64)
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     size = len(raw)
@@ -84,7 +87,20 @@ def hash_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(size + 1, np.uint64)
     np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * powers(size, _R)[:size], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * powers(size, pow(_R, -1, 1 << 64))[starts])
-    return hashes, np.searchsorted(starts, offsets)
+    return hashes, np.searchsorted(starts, offsets), starts, ends, raw, offsets
+
+
+def hash_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, bounds)``: words of row i are ``hashes[bounds[i]:bounds[i + 1]]``. Nulls have none."""
+    return locate_words(texts)[:2]
+
+
+def hash_runs(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash for each run ``hashes[starts[i]:ends[i]]``, equal for equal runs."""
+    n = len(hashes)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * powers(n, _R)[:n], out=total[1:])
+    return mix((total[ends] - total[starts]) * powers(n, pow(_R, -1, 1 << 64))[starts] + (ends - starts).astype(np.uint64))
 
 
 def hash_word(word: str) -> int:
