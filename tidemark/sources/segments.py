@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.config import EngineConfig
 from tidemark.functions.sizing import entry_bytes
@@ -48,7 +49,7 @@ def open_segment(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
     """
     schema = POINT
     if extra:
-        schema = type(POINT)([*POINT.fields]).add(extra, "bigint")
+        schema = T.StructType([*POINT.fields, T.StructField(extra, T.LongType(), False)])
     return spark.read.schema(schema).parquet(path)
 
 
