@@ -224,13 +224,19 @@ def _filter_slots(key: np.ndarray, q: np.ndarray) -> Iterator[np.ndarray]:
 def build_filter(counts: DataFrame, least: tuple[int, int], buckets: int) -> np.ndarray:
     """The filter's bits. Parts are made where their buckets are and sent to the driver: MODEL_BITS in all."""
 
+    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Before the shuffle: what is admitted is bounded by the bits, what was counted isn't."""
+        for b in batches:
+            for bucket, kind, keys, raw in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "keys", "counts")), strict=True):
+                k, c = np.frombuffer(keys, "<u8"), np.frombuffer(raw, "<i8")
+                keep = level(c) >= least[kind - 1]
+                yield _packed(bucket, kind, k[keep].tobytes(), c[keep].tobytes())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
         for b in batches:
             for bucket, kind, keys, raw in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "keys", "counts")), strict=True):
                 k, c = np.frombuffer(keys, "<u8"), np.frombuffer(raw, "<i8")
-                keep = level(c) >= least[kind - 1]
-                k, c = k[keep], c[keep]
                 bits = parts.setdefault(bucket % PARTS, np.zeros(MODEL_BITS // PARTS, bool))
                 todo = [(mix(k ^ _WORD), c)] if kind == 1 else [(mix(k ^ mix(np.array([bucket], np.uint64) ^ _PAIR)), c)]
                 if kind == 2:
@@ -246,7 +252,7 @@ def build_filter(counts: DataFrame, least: tuple[int, int], buckets: int) -> np.
 
     out = np.zeros(MODEL_BITS // 8, np.uint8)
     size = MODEL_BITS // PARTS // 8
-    rows = counts.withColumn("_part", F.col("bucket") % PARTS).repartition(PARTS, "_part").drop("_part").mapInArrow(run, "part int, bits binary")
+    rows = counts.mapInArrow(admit, PACKED).withColumn("_part", F.col("bucket") % PARTS).repartition(PARTS, "_part").drop("_part").mapInArrow(run, "part int, bits binary")
     for r in rows.collect():
         out[r.part * size : (r.part + 1) * size] |= np.frombuffer(bytes(r.bits), np.uint8)
     return out
