@@ -75,7 +75,8 @@ def exact_dedup(
 
     key = ["len", "prefix", "full"]
     groups = narrow.where("full is not null").groupBy(*key).agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    same = narrow.where("full is not null").join(groups.where("group_size > 1"), key, "left")
+    # Written first: a join with a table, unlike one with an aggregate, lets AQE split a large group.
+    same = narrow.where("full is not null").join(durable(groups.where("group_size > 1")), key, "left")
     alone = narrow.where("full is null").withColumns({"keep_id": F.col("id"), "group_size": F.lit(None).cast("bigint")})
     out = same.unionByName(alone)
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
