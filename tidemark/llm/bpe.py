@@ -68,19 +68,21 @@ class WordTable:
         return [np.frombuffer(b"".join(map(get, w)), "<u4") for w in words]
 
     def _learn(self, words: list[bytes]) -> None:
-        """Plain ASCII words go to the tokenizer as one text: each ends where a token ends a word."""
-        plain = [w for w in words if w.isalpha()]  # of bytes: ASCII letters only
-        if plain:
-            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
+        """Words of letters only go to the tokenizer as one text: each ends where a token ends a word."""
+        text = [w.decode() for w in words]
+        letters = [i for i, t in enumerate(text) if t.isalpha()]
+        if letters:
+            ids = np.array(self.tokenizer.encode(" ".join([text[i] for i in letters]), add_special_tokens=False).ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(cuts) == len(plain):
+            if len(cuts) == len(letters):
                 raw, cuts = ids.tobytes(), cuts.tolist()
-                self.known.update(zip(plain, (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
-            else:
-                plain = []
-        rest = [w for w in words if not w.isalpha()] if plain else words
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
-        self.known.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+                self.known.update((words[i], raw[a:b]) for i, a, b in zip(letters, [0, *cuts], cuts, strict=False))
+            else:  # the tokenizer splits some word of letters
+                letters = []
+        done = set(letters)
+        rest = [i for i in range(len(words)) if i not in done]
+        found = self.tokenizer.encode_batch_fast([text[i] for i in rest], add_special_tokens=False)
+        self.known.update((words[i], np.array(e.ids, "<u4").tobytes()) for i, e in zip(rest, found, strict=True))
 
 
 class TreeEncoder:
