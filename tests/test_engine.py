@@ -262,3 +262,15 @@ def test_frames(spark, tmp_path):
 @given(st.binary(max_size=80))
 def test_frames_never_crash(data):
     assert all(1 <= len(s.encode()) <= 1024 for _, s, *_ in framed.parse_frames(data))
+
+
+def test_bloom(spark):
+    from tidemark.operators import bloom_size, build_bloom, might_contain
+
+    assert bloom_size(10_000, 0.01) == (95_850, 7)
+    frame_ = lambda a, b: spark.range(a, b).select(F.concat(F.lit("s"), F.col("id")).alias("series_id"))
+    f = build_bloom(frame_(0, 2000), 2000)
+    got = {r.series_id: r.might_contain for r in might_contain(f, frame_(0, 6000), 2000).collect()}
+    assert all(got[f"s{i}"] for i in range(2000)) and sum(got[f"s{i}"] for i in range(2000, 6000)) < 120
+    with pytest.raises(ValueError):
+        bloom_size(0, 0.1)

@@ -6,13 +6,16 @@ the hour since 1970, ``gen`` a number for every 2,500 events.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import entry_bytes, epoch_micros, write_checksum
-from tidemark.operators import index, reads, sizes
+from tidemark.operators import bloom, index, reads, sizes
 from tidemark.plans import compaction
 from tidemark.sources import segments, wal
+from tidemark.storage import shared_dir
 
 HOUR = 3_600_000_000
 PROBES = [("click", 473000), ("click", 473400), ("error", 999999), ("aaa", 1), ("zzz", 1), ("view", 473360)]
@@ -55,6 +58,14 @@ def _compaction(spark, d):
     return compaction.merge(_levels(spark, d).where(F.col("gen").isin(keep) if keep else F.lit(False)))
 
 
+def _flushed_manifest(spark, d):
+    """Segments as written and opened again, one folder for each generation: entry counts from the files."""
+    root = f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}"
+    _levels(spark, d).repartitionByRange("gen", *reads.KEY).sortWithinPartitions(*reads.KEY).write.partitionBy("gen").option("parquet.page.row.count.limit", 128).parquet(root)
+    points = spark.read.schema("series_id string, timestamp bigint, value double, gen bigint").parquet(root)
+    return segments.metadata(points, "gen").drop("data_bytes")
+
+
 def queries() -> dict:
     return {
         "snapshot_lww": lambda s, d: _latest(s, d),
@@ -76,6 +87,8 @@ def queries() -> dict:
         "sparse_index": lambda s, d: index.sparse_index(_latest(s, d), 128),
         "index_floor": lambda s, d: index.index_floor(index.sparse_index(_latest(s, d), 128), _probes(s)),
         "index_end": lambda s, d: index.index_end(index.sparse_index(_latest(s, d), 128), _probes(s)),
+        "bloom_no_false_negatives": lambda s, d: bloom.might_contain(bloom.build_bloom(writes(s, d, "user_id"), 10_000), writes(s, d, "user_id"), 10_000),
+        "manifest_from_flush": _flushed_manifest,
         "series_membership": lambda s, d: reads.might_contain_series(writes(s, d), _probe_ids(s)),
     }
 
@@ -124,5 +137,7 @@ def oracle_sql() -> dict[str, str]:
         "sparse_index": f"{_I} select cast(i as bigint) as i, series_id, timestamp, off from idx",
         "index_floor": f"{_P} select p.series_id, p.timestamp, cast(coalesce(max(x.off), 0) as bigint) as off from probes p left join idx x on (x.series_id, x.timestamp) <= (p.series_id, p.timestamp) group by 1, 2",
         "index_end": f"{_P} select p.series_id, p.timestamp, cast(coalesce(min(x.off), -1) as bigint) as off from probes p left join idx x on (x.series_id, x.timestamp) > (p.series_id, p.timestamp) group by 1, 2",
+        "bloom_no_false_negatives": "select distinct cast(user_id as varchar) as series_id, true as might_contain from events",
+        "manifest_from_flush": f"{_L} select gen, min(timestamp) as min_timestamp, max(timestamp) as max_timestamp, count(*) as entry_count from lev group by gen",
         "series_membership": f"{_W} select series_id, series_id in (select series_id from writes) as present from (values ('click'), ('view'), ('error'), ('aaa'), ('zzz')) p(series_id)",
     }
