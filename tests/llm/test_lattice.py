@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from test_oracle import compare
 
 from tidemark.llm import lattice as L
 
@@ -81,3 +82,7 @@ def test_recall_at_the_threshold():
     y = 0.98 * x + np.sqrt(1 - 0.98**2) * g / np.linalg.norm(g, axis=1, keepdims=True)
     (hx, px), (hy, py) = L.cells(x), L.cells(y)
     assert ((hx == hy) | (px == hy[:, :, None]).any(axis=2) | (py == hx[:, :, None]).any(axis=2)).any(axis=1).mean() > 0.999
+
+
+def test_sql(spark):
+    compare(spark, "/root/testdata/sf0.001", L.op1_lattice_dedup, L.OP1_SQL)

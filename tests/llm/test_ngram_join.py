@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from test_oracle import compare
 
 from tidemark.llm import graph
 from tidemark.llm import ngram_join as J
@@ -94,3 +95,7 @@ def test_components(spark):
         forest.join(a, b)
     got = {x.node: x.component for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: forest.root(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_sql(spark):
+    compare(spark, "/root/testdata/sf0.001", J.op9_ngram_join, J.OP9_SQL)

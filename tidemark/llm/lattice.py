@@ -248,3 +248,21 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
 def op1_lattice_dedup(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs of a label: a brute force that suits small tables.
+OP1_SQL = """
+with recursive v as (
+    select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+    where label is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as (
+    select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+    where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(n, r) as (select vec_id, vec_id from embeddings union select reach.n, pairs.b from reach join pairs on reach.r = pairs.a),
+least as (select n, min(r) as component_id from reach group by n),
+degree as (select a, count(*) as n_links from pairs group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
+from embeddings join least on n = vec_id left join degree on a = vec_id
+"""

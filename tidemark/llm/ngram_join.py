@@ -389,3 +389,22 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=90)
+
+
+#: Counts the shingles that each pair shares: a brute force that suits small tables.
+OP9_SQL = r"""
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from w),
+flat as (select doc_id, len(s) as n, unnest(s) as x from sets),
+pairs as (
+    select a.doc_id as a, b.doc_id as b from flat a join flat b on a.x = b.x and a.doc_id <> b.doc_id
+    group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach(n, r) as (select doc_id, doc_id from documents union select reach.n, pairs.b from reach join pairs on reach.r = pairs.a),
+least as (select n, min(r) as component_id from reach group by n),
+degree as (select a, count(*) as n_links from pairs group by a)
+select doc_id, len(s)::bigint as n_shingles, component_id, coalesce(n_links, 0) as n_links
+from sets join least on n = doc_id left join degree on a = doc_id
+"""
