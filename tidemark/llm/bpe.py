@@ -37,7 +37,7 @@ LEAF_CHARS = 16_384
 #: Text bytes that are encoded before their rows are handed on.
 BATCH_BYTES = 500_000
 #: Words whose ids a table keeps, and as many again of those used before.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 #: First half-width, in bytes, of the window around a join.
 WINDOW_CHARS = 48
 
@@ -157,8 +157,12 @@ class TreeEncoder:
         """Pieces with spaces go word by word; unsplit ones go to the library's threads together."""
         out = dict(enumerate(self.plain_words.encode([p if b" " in p else b"" for p in pieces])))
         unsplit = [i for i, p in enumerate(pieces) if p and b" " not in p]
-        found = self.plain.encode_batch_fast([pieces[i].decode() for i in unsplit], add_special_tokens=False)
-        out.update(zip(unsplit, (np.array(e.ids, "<u4") for e in found), strict=True))
+        if unsplit:
+            before = os.environ.get("TOKENIZERS_PARALLELISM")
+            os.environ["TOKENIZERS_PARALLELISM"] = "true"
+            found = self.plain.encode_batch_fast([pieces[i].decode() for i in unsplit], add_special_tokens=False)
+            os.environ["TOKENIZERS_PARALLELISM"] = before or "false"
+            out.update(zip(unsplit, (np.array(e.ids, "<u4") for e in found), strict=True))
         return [out[i] for i in range(len(pieces))]
 
     def _halves(self, raw: bytes) -> list[int]:
@@ -258,7 +262,7 @@ def encode_decode(
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<long>, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"  # for the pieces of long texts
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # threads only pay for the pieces of long words
         enc = encoder(tokenizer_path, leaf_chars, window_chars)
         for whole in batches:
             for a, b in chunks(whole.column("text"), BATCH_BYTES):
