@@ -13,5 +13,6 @@ def epoch_micros(ts: Column) -> Column:
 
 
 def timestamp_micros(ts: Column, unit_micros: int) -> Column:
-    """``epoch_micros`` in whole units, rounded down also before 1970."""
-    return F.floor(F.expr("1") * 0 + epoch_micros(ts) / F.lit(unit_micros)).cast("bigint")
+    """``epoch_micros`` in whole units, rounded down also before 1970; no step goes through a double."""
+    x = epoch_micros(ts)
+    return ((x - F.pmod(x, F.lit(unit_micros))).cast("decimal(20,0)") / unit_micros).cast("bigint")

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import entry_bytes, epoch_micros, write_checksum
+from tidemark.functions import entry_bytes, timestamp_micros, write_checksum
 from tidemark.operators import bloom, index, reads, sizes
 from tidemark.plans import compaction
 from tidemark.sources import segments, wal
@@ -23,10 +23,16 @@ PROBES = [("click", 473000), ("click", 473400), ("error", 999999), ("aaa", 1), (
 
 def writes(spark: SparkSession, sf_dir: str, series: str = "event_type") -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    hour = F.floor(epoch_micros(F.col("ts")) / F.lit(HOUR)).cast("bigint")
+    hour = timestamp_micros(F.col("ts"), HOUR)
     return events.select(F.col("event_id").alias("seq"), F.col(series).cast("string").alias("series_id"), hour.alias("timestamp"), "value", F.floor(F.col("event_id") / 2500).cast("bigint").alias("gen"))
 
 
+def lineitem_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many series: a part's price by shipping day; the order and line number the writes of a key."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.col("l_partkey").cast("string").alias("series_id"), timestamp_micros(F.col("l_shipdate"), 24 * HOUR).alias("timestamp"), F.col("l_extendedprice").alias("value"))
+
+
 def _latest(spark, d):
     return reads.latest(writes(spark, d))
 
@@ -69,6 +75,8 @@ def _flushed_manifest(spark, d):
 def queries() -> dict:
     return {
         "snapshot_lww": lambda s, d: _latest(s, d),
+        "snapshot_many_series": lambda s, d: reads.latest(lineitem_writes(s, d)),
+        "range_scan_many_series": lambda s, d: reads.range_scan(reads.latest(lineitem_writes(s, d)), "17", 9000, 10000),
         "point_get": lambda s, d: reads.point_get(_latest(s, d), "click", 473400),
         "range_scan": lambda s, d: reads.range_scan(_latest(s, d), "view", 473400, 473500),
         "range_scan_inverted": lambda s, d: reads.range_scan(_latest(s, d), "view", 473500, 473400),
@@ -94,6 +102,7 @@ def queries() -> dict:
 
 
 _W = f"with writes as (select event_id as seq, event_type as series_id, epoch_us(ts) // {HOUR} as timestamp, value, event_id // 2500 as gen from events)"
+_M = f"with many as (select l_orderkey * 8 + l_linenumber as seq, cast(l_partkey as varchar) as series_id, epoch_us(l_shipdate) // {24 * HOUR} as timestamp, l_extendedprice as value from lineitem)"
 _S = _W + ", snap as (select series_id, timestamp, arg_max(value, seq) as value from writes group by 1, 2)"
 _L = _W + ", lev as (select gen, series_id, timestamp, arg_max(value, seq) as value from writes group by 1, 2, 3)"
 _I = _S + ", n as (select *, row_number() over (order by series_id, timestamp) - 1 as i, cast(sum(20 + strlen(series_id)) over (order by series_id, timestamp) - 20 - strlen(series_id) as bigint) as off from snap), idx as (select * from n where i % 128 = 0)"
@@ -116,9 +125,12 @@ def _sql_checksum() -> str:
 
 def oracle_sql() -> dict[str, str]:
     point = "select series_id, timestamp, value from snap"
+    many = "select series_id, timestamp, arg_max(value, seq) as value from many"
     meta = "select gen, min(timestamp) as min_timestamp, max(timestamp) as max_timestamp, count(*) as entry_count, cast(sum(20 + strlen(series_id)) as bigint) as data_bytes from lev group by gen"
     return {
         "snapshot_lww": f"{_S} {point}",
+        "snapshot_many_series": f"{_M} {many} group by 1, 2",
+        "range_scan_many_series": f"{_M} {many} where series_id = '17' and timestamp between 9000 and 10000 group by 1, 2",
         "point_get": f"{_S} {point} where series_id = 'click' and timestamp = 473400",
         "range_scan": f"{_S} {point} where series_id = 'view' and timestamp between 473400 and 473500",
         "range_scan_inverted": f"{_S} {point} where series_id = 'view' and timestamp between 473500 and 473400",

@@ -46,7 +46,7 @@ def parse_frames(data: bytes) -> Iterator[tuple[int, str, int, float, int]]:
 
 
 def encode_frames(writes: DataFrame) -> DataFrame:
-    """One row for each ``gen``-and-partition run: ``frames`` holds the writes in ``seq`` order."""
+    """``frames``: bytes of a run of writes, in ``seq`` order inside each partition; a row for each Arrow batch."""
     rows = with_checksum(writes).sortWithinPartitions("seq").select("series_id", "timestamp", "value", "checksum")
 
     def pack(batches):

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,9 +24,10 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     It cuts the lineage, as checkpoint() does, but stays columnar and compressed. ``release``
-    deletes the files once nothing reads them.
+    deletes the files once nothing reads them; ``clean`` deletes those of all finished queries.
     """
     path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    _written.add(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._durable_path = path
@@ -45,3 +49,10 @@ def release(df: DataFrame | None) -> None:
     """Delete what ``durable`` wrote for ``df``."""
     if path := getattr(df, "_durable_path", None):
         delete(df.sparkSession, path)
+        _written.discard(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that ``durable`` wrote in this process. Results that haven't been read yet are lost."""
+    while _written:
+        delete(spark, _written.pop())
