@@ -14,8 +14,10 @@ MIN_LANGUAGE_SHARE = 0.3
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without letters, or without a language of some share, go."""
-    out = langid.identify(docs, F.lit(True), keep=tuple(docs.columns))
-    return out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*docs.columns)
+    # Under other names, so that no column of the documents is taken for one of the result.
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    out = langid.identify(docs.toDF(*own.values()), F.lit(True), own["doc_id"], own["text"], own["lang"], keep=tuple(own.values()))
+    return out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*own.values()).toDF(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,20 @@ def test_run(spark):
     out = C.run(spark, D)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
     assert 4 <= len(C.STAGES) <= 5
+
+
+def test_clashing_columns_and_odd_rows(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "score", "lang_pred", "langs", "_gone", "_n", "_id", "_copies", "c1", "copies", "set"]
+    words = "the of and that with from this have are was"
+    rows = [(i, f"{words} w{i % 7} and v{i}", "en", "src0") for i in range(30)] + [(40, None, None, None), (None, words * 3, "en", None), (41, "", "de", "x"), (42, "123 !", "de", "x"), (3, f"{words} w3 and v3", "en", "src0")]
+    df = spark.createDataFrame([(*r, len(r[1] or ""), *"abcdefghij") for r in rows], ", ".join(f"{n} {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    out = df
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, out, D)
+        assert out.columns == names
+    assert out.count() > 0 and {40, 41, 42}.isdisjoint(r.doc_id for r in out.collect())
+    assert C.STAGES[-1][1](spark, out, D).count() == out.count()
+    empty = df.limit(0)
+    for _, stage in C.STAGES:
+        empty = stage(spark, empty, D)
+    assert empty.count() == 0

@@ -90,7 +90,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows with a null id are dropped if another row with the same text has an id.
     """
     gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

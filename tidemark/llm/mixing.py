@@ -135,8 +135,11 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame
     """The mix itself: ``docs`` with each row as often as it is read; all columns."""
     lang, source = parameters.get("lang_col", "lang"), parameters.get("source_col", "source")
     picked = mix(docs, id_col=id_col, **parameters).select(F.col(id_col).alias("_id"), F.col("lang").alias("_l"), F.col("source").alias("_s"), "copies").groupBy("_id", "_l", "_s").agg(F.max("copies").alias("_copies"))
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.coalesce(docs[lang], F.lit(NONE)) == F.col("_l")) & (F.coalesce(docs[source], F.lit(NONE)) == F.col("_s"))
-    return docs.join(picked, same).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    # Under other names, so that no column of the documents is taken for one of the mix.
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    x = docs.toDF(*own.values())
+    same = x[own[id_col]].eqNullSafe(picked["_id"]) & (F.coalesce(own[lang], F.lit(NONE)) == picked["_l"]) & (F.coalesce(own[source], F.lit(NONE)) == picked["_s"])
+    return x.join(picked, same).select(*own.values(), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_n")).drop("_n").toDF(*docs.columns)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

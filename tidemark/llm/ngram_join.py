@@ -384,7 +384,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Documents without words are components of their own and stay. Rows that share the smallest id all stay.
     """
     gone = jaccard_join(docs, id_col, text_col, words, percent).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
