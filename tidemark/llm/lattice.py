@@ -142,11 +142,11 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = np.tile(np.repeat(np.arange(TABLES), PROBES + 1), len(at))
             probed = np.tile(np.arange(PROBES + 1) > 0, len(at) * TABLES).astype(np.int32)
             cell = mix((all_.reshape(-1).view(np.uint64) ^ np.uint64(n)) + table.astype(np.uint64)).view(np.int64)
-            cols = [b.column(c).take(take) for c in ("group", "node", "copies", "vec")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(table, pa.int32()), pa.array(cell, pa.int64()), pa.array(probed, pa.int32())], ["group", "node", "copies", "vec", "t", "cell", "probed"])
+            cols = [b.column(c).take(take) for c in ("group", "node")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(table, pa.int32()), pa.array(cell, pa.int64()), pa.array(probed, pa.int32())], ["group", "node", "t", "cell", "probed"])
 
 
-DEALT = "group long, node long, copies long, vec binary, t int, cell long, probed int"
+DEALT = "group long, node long, t int, cell long, probed int"
 
 
 def _linked(cosine: float):
@@ -228,12 +228,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     rows = durable(_vectors(vectors, id_col, vec_col, label_col).withColumn("node", F.when(F.col("vec").isNotNull() & F.col("label").isNotNull(), F.xxhash64("label", "vec"))))
     # Equal vectors of a label are one node: a partial aggregate, so a hot vector is a row for each mapper.
     nodes = durable(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("label").alias("label"), F.first("vec").alias("vec")))
-    dealt = nodes.select(F.xxhash64("label").alias("group"), "node", "copies", "vec").mapInArrow(_deal, DEALT)
+    # Cells travel without vectors; those join the cells that more than one vector is in.
+    dealt = durable(nodes.select(F.xxhash64("label").alias("group"), "node", "vec").mapInArrow(_deal, DEALT))
     key = ["group", "t", "cell"]
-    dealt = durable(dealt)
     sizes = dealt.groupBy(*key).agg(F.count("*").alias("m"), F.min("probed").alias("home")).where("m > 1 and home = 0")
     placed = dealt.join(sizes.select(*key, F.ceil(F.col("m") / BLOCK).alias("blocks")), key).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    spread = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k")}).drop("k", "blocks")
+    spread = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k")}).drop("k", "blocks").join(nodes.select("node", "copies", "vec"), "node")
     found = durable(spread.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j", "node", "probed").mapInArrow(_linked(cosine), "kind int, a long, b long"))
     release(dealt)
     comp = durable(components(found.where("kind = 0")))
