@@ -274,3 +274,19 @@ def test_bloom(spark):
     assert all(got[f"s{i}"] for i in range(2000)) and sum(got[f"s{i}"] for i in range(2000, 6000)) < 120
     with pytest.raises(ValueError):
         bloom_size(0, 0.1)
+
+
+def test_index_lookups_across_partitions(spark):
+    r = random.Random(5)
+    keys = sorted({(r.choice("bdfh") + str(r.randrange(3)), r.randrange(400)) for _ in range(900)})
+    p = spark.createDataFrame([(*k, 0.0) for k in keys], "series_id string, timestamp long, value double").repartition(7)
+    ix = index.sparse_index(p, 10)
+    offs, at = [], 0
+    for i, k in enumerate(keys):
+        if i % 10 == 0:
+            offs.append((k, at))
+        at += 20 + len(k[0])
+    probes = sorted({(r.choice("abcdefghi") + str(r.randrange(3)), r.randrange(-5, 410)) for _ in range(300)} | set(keys[::10][:40]))
+    df = spark.createDataFrame(probes, "series_id string, timestamp long")
+    assert {x[:2]: x[2] for x in tuples(index.index_floor(ix, df))} == {q: max((o for k, o in offs if k <= q), default=0) for q in probes}
+    assert {x[:2]: x[2] for x in tuples(index.index_end(ix, df))} == {q: min((o for k, o in offs if k > q), default=-1) for q in probes}

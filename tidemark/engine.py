@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,17 +75,20 @@ class Engine:
     def flush(self) -> int:
         """Write the pending points as a segment, publish it, return its generation."""
         generations = [g for g in self._log_generations() if g > self._flushed()]
-        points = reads.latest(self.pending(), "gen", "seq")
+        pending = self.pending()
         if not generations:
             raise ValueError("nothing to flush")
         gen = generations[-1]
-        self._publish(points.withColumn("gen", F.lit(gen).cast("bigint")), gen, [])
+        points = reads.latest(pending, "gen", "seq").withColumn("gen", F.lit(gen).cast("bigint"))
+        self._publish(points, gen, [], pending)
         return gen
 
-    def _publish(self, points: DataFrame, gen: int, sources: list[str]) -> None:
+    def _publish(self, points: DataFrame, gen: int, sources: list[str], rows: DataFrame) -> None:
+        """``rows``: what ``points`` were made from; counting its ids is a scan of one column."""
         name = f"{gen:020d}-{uuid.uuid4().hex[:8]}"
         path = f"{self.config.segments_dir}/{name}"
-        segments.write_segment(points, path, self.config)
+        series = rows.agg(F.approx_count_distinct("series_id")).first()[0]
+        segments.write_segment(points, path, self.config, series)
         m = segments.metadata(segments.open_segment(self.spark, path)).first()
         segments.publish(self.spark, self.config.manifest_dir, (name, gen, path, m.min_timestamp, m.max_timestamp, m.entry_count, m.data_bytes, sources))
 
@@ -119,7 +123,8 @@ class Engine:
         made = []
         for group in plan_size_tiered([(k, r.file_size_bytes) for k, r in rows.items()], self.config.compaction_min_tables, self.config.compaction_size_ratio):
             gen = max(rows[k].gen for k in group)
-            self._publish(merge(*(segments.open_segment(self.spark, rows[k].path, "gen") for k in group)), gen, group)
+            levels = [segments.open_segment(self.spark, rows[k].path, "gen") for k in group]
+            self._publish(merge(*levels), gen, group, reduce(DataFrame.unionByName, levels))
             made.append(gen)
         return made
 

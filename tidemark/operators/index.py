@@ -37,34 +37,29 @@ def sparse_index(points: DataFrame, interval: int = 128) -> DataFrame:
     return with_offsets(points).where(F.col("i") % interval == 0).select("i", *KEY, "off")
 
 
-def _around(index: DataFrame, probes: DataFrame, order, found) -> DataFrame:
-    """Both lookups are one window over index and probes together: no nested-loop join.
+def _lookup(index: DataFrame, probes: DataFrame, order: list, last, default: int) -> DataFrame:
+    """For each probe the offset of the index entry before it in ``order``, else ``default``.
 
-    Rows are dealt by series; a lookup that leaves its series is answered by the edges of the
-    other series, one row each.
+    Index and probes are sorted together in range partitions, so neither a long series nor many
+    series land in one task. An entry in an earlier partition is found from one row for each
+    partition: ``last`` (max or min) of the offsets before, as offsets rise with the keys.
     """
-    both = index.select(*KEY, "off", F.lit(0).alias("probe")).unionByName(probes.select(*KEY, F.lit(None).cast("bigint").alias("off"), F.lit(1).alias("probe")).distinct())
-    w = Window.partitionBy("series_id").orderBy(*order)
-    near = both.select("*", found(F.col("off")).over(w).alias("near")).where("probe = 1")
-    return near
+    rows = index.select(*KEY, "off", F.lit(0).alias("probe")).unionByName(probes.select(*KEY, F.lit(None).cast("bigint").alias("off"), F.lit(1).alias("probe")).distinct())
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = durable(ranged.select("*", F.spark_partition_id().alias("part")))
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranged.groupBy("part").agg(last("off").alias("edge")).select("part", last("edge").over(before).alias("edge"))
+    near = ranged.select(*KEY, "probe", "part", F.last("off", ignorenulls=True).over(inside).alias("near")).where("probe = 1")
+    # One row for each shuffle partition.
+    return near.join(F.broadcast(carried), "part").select(*KEY, F.coalesce("near", "edge", F.lit(default)).cast("bigint").alias("off"))
 
 
 def index_floor(index: DataFrame, probes: DataFrame) -> DataFrame:
     """For each probe key the offset of the largest index key at or below it, else 0."""
-    near = _around(index, probes, (F.col("timestamp"), F.col("probe")), lambda c: F.last(c, ignorenulls=True))
-    ends = index.groupBy("series_id").agg(F.max("off").alias("edge")).select("series_id", "edge", F.lit(0).alias("probe"))
-    ask = probes.select("series_id").distinct().select("series_id", F.lit(None).cast("bigint").alias("edge"), F.lit(1).alias("probe"))
-    # One row for each series, so the window over all of them is small next to the points.
-    w = Window.orderBy("series_id", F.col("probe").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    before = ends.unionByName(ask).select("series_id", "probe", F.last("edge", ignorenulls=True).over(w).alias("edge")).where("probe = 1").drop("probe")
-    return near.join(before, "series_id").select(*KEY, F.coalesce("near", "edge", F.lit(0)).cast("bigint").alias("off"))
+    return _lookup(index, probes, [F.col("series_id"), F.col("timestamp"), F.col("probe")], F.max, 0)
 
 
 def index_end(index: DataFrame, probes: DataFrame) -> DataFrame:
     """For each probe key the offset of the smallest index key above it, else -1."""
-    near = _around(index, probes, (F.col("timestamp").desc(), F.col("probe").desc()), lambda c: F.last(c, ignorenulls=True))
-    starts = index.groupBy("series_id").agg(F.min("off").alias("edge")).select("series_id", "edge", F.lit(0).alias("probe"))
-    ask = probes.select("series_id").distinct().select("series_id", F.lit(None).cast("bigint").alias("edge"), F.lit(1).alias("probe"))
-    w = Window.orderBy(F.col("series_id").desc(), F.col("probe").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    after = starts.unionByName(ask).select("series_id", "probe", F.last("edge", ignorenulls=True).over(w).alias("edge")).where("probe = 1").drop("probe")
-    return near.join(after, "series_id").select(*KEY, F.coalesce("near", "edge", F.lit(-1)).cast("bigint").alias("off"))
+    return _lookup(index, probes, [F.col("series_id").desc(), F.col("timestamp").desc(), F.col("probe").desc()], F.min, -1)
