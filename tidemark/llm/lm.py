@@ -335,7 +335,7 @@ def score_text(
     bounded_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     # A bucket holds about what one partition of the input has.
-    buckets = PARTS * -(-docs.select(text_col).rdd.getNumPartitions() // PARTS)
+    buckets = PARTS * max(1, -(-docs.select(text_col).rdd.getNumPartitions() // PARTS))
     counts = durable(gather(docs.where(train_rows).select(text), buckets))
     n, v, by = summary(counts)
     bits = build_filter(counts, admitted(by, MODEL_BITS // BITS_A_KEY), buckets)
