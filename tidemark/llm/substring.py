@@ -175,7 +175,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array([int(r)], pa.int32()), pa.array([-1], pa.int32()), pa.array([place], pa.int32()), pa.array([pack(a[~first & (run == r)], ANSWER)], pa.binary())], ["run", "kind", "place", "data"])
 
     asked = seen.where("kind = 1").select("run", "place", "data").repartition(n_buckets, "place")
-    answers = asked.mapInArrow(decide, "run int, kind int, place int, data binary")
+    answers = durable(asked.mapInArrow(decide, "run int, kind int, place int, data binary"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known, ids, own, local = None, None, None, {}, []
@@ -222,7 +222,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(out[0])), pa.array(out[1], pa.int64()), pa.array(out[2], span), pa.array(out[3], pa.list_(pa.int64()))], ["id", "n_units", "spans", "sources"])
 
     both = seen.unionByName(answers.withColumns({"id": F.lit(None).cast(kind), "more": F.lit(None).cast("binary")})).withColumn("_o", F.when(F.col("kind") == 0, 2).otherwise(F.col("kind")))
-    rows = both.repartition("run").sortWithinPartitions("run", "_o", "place").select("run", "kind", "id", "place", "data", "more")
+    # By range: hashing a run for each task into as many partitions would put several into one.
+    rows = both.repartitionByRange(2 * n_buckets, "run").sortWithinPartitions("run", "_o", "place").select("run", "kind", "id", "place", "data", "more")
     return rows.mapInArrow(finish, f"id {kind}, n_units long, spans array<struct<start:int,end:int>>, sources array<long>").withColumnRenamed("id", id_col)
 
 
