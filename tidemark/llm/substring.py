@@ -29,6 +29,8 @@ from tidemark.storage import durable
 PIECE_WORDS = 6
 MIN_WORDS = 20
 MIN_LINE_WORDS = 5
+#: Entries that a task holds before it merges equal digests.
+HOLD = 500_000
 #: Id that null ids count as: they rank last.
 LAST = np.int64(2**63 - 1)
 
@@ -140,7 +142,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 e = np.empty(len(units), ENTRY)
                 e["digest"], e["id"], e["doc"], e["unit"] = units["digest"], rank[row], doc + row, np.arange(len(units)) - bounds[row]
                 held.append(e)
-                if sum(map(len, held)) > 2_000_000:
+                if sum(map(len, held)) > HOLD:
                     kept, held = _distinct(np.concatenate((kept, *held))), []
                 yield _rows(run, 0, ids, [doc + k for k in range(y - x)], [pack_units(units[p:q]) for p, q in zip(bounds[:-1], bounds[1:], strict=True)], [b""] * (y - x))
                 doc += y - x
