@@ -35,6 +35,35 @@ def test_drop_copies(spark):
     assert X.drop_copies(df).columns == df.columns
 
 
+def kept(rows):
+    """For each text the largest (id, source), nulls last."""
+    best = {}
+    for i, t, s in rows:
+        best[t or ""] = max((i is not None, i or 0, s, t is not None), best.get(t or "", (False, -1, "", False)))
+    return sorted(((i if some else None, t if there or t else None, s) for t, (some, i, s, there) in best.items()), key=repr)
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(1, "a", "x"), (1, "b", "x"), (2, "a", "x"), (None, "a", "x"), (None, "c", "x")],
+        [(7, "a", "x"), (7, "a", "y"), (7, "a", "y"), (3, "a", "z"), (None, "n", "p"), (None, "n", "q")],
+        [(1, "t" * 5000, "x"), (2, "t" * 5000, "y"), (1, "u", "x"), (5, "", "x"), (5, "u", "k")],
+    ],
+)
+def test_drop_copies_with_shared_and_null_ids(spark, rows):
+    df = spark.createDataFrame([(*r, 1, 2, {"k": 1}) for r in rows], "doc_id long, text string, source string, _n int, _keep int, tags map<string,int>")
+    out = X.drop_copies(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text, r.source) for r in out.collect()), key=repr) == kept(rows)
+
+
+def test_keys_beyond_the_bitmap_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(X, "MAX_CHUNKS", 0)
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    assert sorted((tuple(r) for r in X.exact_dedup(df, carry={"text_sha256": lambda t: F.sha2(t, 256)}).collect()), key=repr) == brute(ROWS)
+
+
 @pytest.mark.parametrize("d", ["sf0.001"])
 def test_sql(spark, d):
     compare(spark, f"/root/testdata/{d}", X.op2_exact_dedup, X.OP2_SQL)
