@@ -3,7 +3,9 @@
 A token budget is handed down a tree of domain, language and source. At each node it is split among
 the children by weight; a child that can't use its share (all its epochs hold fewer tokens) takes
 what it can, and the rest goes to its siblings by their weights. Only what a whole family can't use has
-stayed with the family's own siblings, one level up, as a node never gets more than its subtree holds.
+stayed with the family's own siblings, one level up, as a node never gets more than its subtree can use:
+what lies below a weight of 0 doesn't count. Tokens that rounding leaves over go one by one to the
+children with the largest remainders.
 A leaf reads its documents in epochs, each in its own seeded order, and takes them until its
 budget is reached: whole epochs, then a prefix of one more.
 
@@ -14,10 +16,12 @@ are ever sorted: a leaf with a third of all rows is no large group.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.storage import durable
+from tidemark.storage import durable, release
 
 LEVELS = ("domain", "lang", "source")
 #: Production parameters. Weights are whole numbers; what isn't named weighs 1.
@@ -40,8 +44,11 @@ def domain_of(source: Column) -> Column:
 
 
 def _weight(level: str, weights: dict) -> Column:
+    """Weight of the node of this level; ValueError unless all are whole numbers from 0 on."""
     out = F.lit(1)
     for name, w in weights.get(level, {}).items():
+        if w != int(w) or w < 0:
+            raise ValueError(f"weight of {level} {name} must be a whole number, 0 or more: {w}")
         out = F.when(F.col(level) == name, w).otherwise(out)
     return out.cast("decimal(19,0)")
 
@@ -50,7 +57,8 @@ def split_budget(children: DataFrame, parent: list[str], name: str) -> DataFrame
     """``budget`` of each child from ``total`` (its parent's), ``capacity`` and ``weight``, all decimals.
 
     In the order of capacity for weight, the children that are filled come first; the k-th is filled if what
-    is left after those before it gives it at least its capacity. The others share the rest.
+    is left after those before it gives it at least its capacity. The others share the rest, rounded down;
+    the tokens left over, fewer than these children, go to the largest remainders, then by name.
     """
     family = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(1))
     before = family.orderBy(F.col("capacity") / F.col("weight"), name).rowsBetween(Window.unboundedPreceding, -1)
@@ -60,18 +68,28 @@ def split_budget(children: DataFrame, parent: list[str], name: str) -> DataFrame
     x = x.withColumn("_full", F.col("capacity") * (F.col("_all") - F.col("_w")) <= F.col("weight") * (F.col("total") - F.col("_c")))
     filled = lambda c: whole(F.coalesce(F.sum(F.when(F.col("_full"), F.col(c))).over(family), zero))
     x = x.withColumns({"_fc": filled("capacity"), "_fw": filled("weight")})
-    part = F.expr("cast((weight * (total - _fc)) div nullif(_all - _fw, 0) as decimal(38,0))")
-    return x.withColumn("budget", F.when(F.col("_full"), whole(F.col("capacity"))).otherwise(part)).drop("_c", "_w", "_all", "_full", "_fc", "_fw", "total")
+    x = x.withColumns({"_part": F.expr("cast(case when not _full then (weight * (total - _fc)) div nullif(_all - _fw, 0) end as decimal(38,0))"), "_rest": F.expr("case when not _full then (weight * (total - _fc)) % nullif(_all - _fw, 0) end")})
+    turn = family.orderBy(F.col("_rest").desc_nulls_last(), name)
+    over = F.col("total") - F.col("_fc") - whole(F.coalesce(F.sum("_part").over(family), zero))
+    x = x.withColumns({"_over": over, "_turn": F.row_number().over(turn)})
+    part = whole(F.col("_part") + (F.col("_turn") <= F.col("_over")).cast("int"))
+    return x.withColumn("budget", F.when(F.col("_full"), whole(F.col("capacity"))).otherwise(part)).drop("_c", "_w", "_all", "_full", "_fc", "_fw", "_part", "_rest", "_over", "_turn", "total")
 
 
 def budgets(leaves: DataFrame, total: Column, weights: dict) -> DataFrame:
-    """Leaf budgets from ``tokens`` of each leaf; ``capacity`` is what all its epochs hold."""
+    """Leaf budgets from ``tokens`` of each leaf; ``capacity`` is what all its epochs hold.
+
+    A leaf with a weight of 0 at any level adds nothing to what the nodes above it can use.
+    """
+    used = reduce(lambda a, b: a & b, ((_weight(level, weights) > 0) for level in LEVELS))
+    usable = leaves.withColumn("capacity", F.when(used, F.col("capacity")).otherwise(0))
     node = None
     for depth, level in enumerate(LEVELS):
         path = list(LEVELS[: depth + 1])
-        here = leaves.groupBy(*path).agg(F.sum("capacity").cast("decimal(19,0)").alias("capacity")).withColumn("weight", _weight(level, weights))
+        here = usable.groupBy(*path).agg(F.sum("capacity").cast("decimal(19,0)").alias("capacity")).withColumn("weight", _weight(level, weights))
         here = here.withColumn("total", total) if node is None else here.join(node.select(*path[:-1], F.col("budget").alias("total")), path[:-1])
-        node = durable(split_budget(here, path[:-1], level))
+        above, node = node, durable(split_budget(here, path[:-1], level))
+        release(above)
     return leaves.join(node.select(*LEVELS, F.col("budget").cast("long").alias("budget")), list(LEVELS))
 
 
@@ -159,7 +177,9 @@ def _level_sql(out: str, path: list[str], parent: str, weight: str) -> str:
         f"window b as ({by} order by capacity / weight, {name} rows between unbounded preceding and 1 preceding)), "
         f"{out}_b as (select *, capacity * (wa - w) <= weight * (t - c) as f from {out}_a), "
         f"{out}_c as (select *, coalesce(sum(capacity) filter (f) over ({by}), 0) as fc, coalesce(sum(weight) filter (f) over ({by}), 0) as fw from {out}_b), "
-        f"{out} as (select {', '.join(path)}, case when f then capacity else ((weight * (t - fc)) // nullif(wa - fw, 0)) end::hugeint as budget from {out}_c)"
+        f"{out}_d as (select *, case when not f then (weight * (t - fc)) // nullif(wa - fw, 0) end as part, case when not f then (weight * (t - fc)) % nullif(wa - fw, 0) end as rem from {out}_c), "
+        f"{out}_e as (select *, t - fc - coalesce(sum(part) over ({by}), 0) as ov, row_number() over ({by} order by rem desc nulls last, {name}) as turn from {out}_d), "
+        f"{out} as (select {', '.join(path)}, case when f then capacity else part + (turn <= ov)::int end::hugeint as budget from {out}_e)"
     )
 
 
