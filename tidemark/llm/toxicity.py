@@ -1,24 +1,32 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are built, one from words of toxic and one from words of ordinary text, and
-each window of a document is compressed with both: the bytes that the toxic dictionary saves
-are the window's distance. A window is one word between white space, without its outer
-punctuation. It is written with each byte as two (its hex digits) behind a fixed opening
-that both dictionaries hold: zstandard spends some bytes on any match, which would hide matches of
-short words, and stores very short inputs raw.
-
-Toxic text is mostly ordinary, so its dictionary takes the words that set it apart: those with a high
-log-likelihood ratio. What is counted is distinct places (word before, word, word after), so copies
-of a document and repeated passages count once. The other dictionary takes as many bytes of the
-commonest words of ordinary text. A document's score is a logistic function of its largest, second
-largest and summed relative distances, calibrated on the labelled training rows.
-
-The model is fitted on a bounded sample of labelled rows: about ``SAMPLE_DOCS`` whole toxic documents
-and ``ORDINARY`` times as many others, by a hash of the id. The two dictionaries have at most ``DICT_BYTES``.
+A text is cut into overlapping windows of ``WORDS`` words. Two zstandard dictionaries are trained: one on
+windows of ordinary text, one on windows of toxic text. A window is compressed once with the
+ordinary dictionary and once with the toxic one in front of it; the bytes that are saved, as a share of
+what the ordinary dictionary needs, are the window's distance. The part that both share lies at the
+same place in both, so a window without anything toxic compresses to about the same length.
+
+Toxic documents consist mostly of ordinary text. So the toxic dictionary is trained on residuals:
+windows of toxic text without the words that the ordinary dictionary (and what the toxic one has
+so far) compresses to few bytes; this is repeated ``PARTS`` times. And the ordinary dictionary is given the windows of
+ordinary text in which the toxic one saved bytes all the same, ``ROUNDS`` times.
+
+zstandard spends some 5 bytes on any match, which hides matches of short words; every byte is written as
+two (the second a fixed function of the first), which doubles what a match saves.
+
+A document's score is a logistic function of its windows' distances (largest, second largest, mean,
+bytes saved), calibrated on labelled training rows that the dictionaries were not trained on (one in
+``CALIBRATE``, by a hash of the id), so that the threshold is where F1 is best.
+
+The model is fitted on a bounded sample of labelled rows: about ``sample_docs`` whole toxic documents and
+``ORDINARY`` times as many others, by a hash of the id, and of their windows about ``FIT_BYTES`` for
+each class, by a hash of the window. The sample stays in a table; what the driver gets are dictionaries
+of bounded size and a few numbers for each sampled document.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,76 +36,78 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import bounded_batches
 from tidemark.llm.langid import fold
-from tidemark.llm.words import mix
-
-#: Toxic documents that the model is fitted on, about.
-SAMPLE_DOCS = 2000
-#: So many ordinary documents for each toxic one.
-ORDINARY = 2
-#: Bytes of each dictionary.
-DICT_BYTES = 100_000
-#: Words with a smaller log-likelihood ratio stay out of the toxic dictionary.
-MIN_RATIO = 15.0
+from tidemark.storage import durable, release
+
+#: Toxic documents that the model is fitted on, about, and ordinary ones for each of them.
+SAMPLE_DOCS, ORDINARY = 3000, 2
+#: One in so many of these is kept apart, for the calibration.
+CALIBRATE = 4
+#: Bytes of windows of each class that dictionaries are trained on, about.
+FIT_BYTES = 16_000_000
+#: Words in a window, and from the start of one to the start of the next; a window is cut every MAX_WINDOW bytes.
+WORDS, STRIDE, MAX_WINDOW = 32, 28, 2048
+#: Bytes of the ordinary dictionary as trained, at most as many of hard windows, and of each part of the toxic one.
+ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 400_000, 800_000, 12_000
+#: Parts of the toxic dictionary, rounds of hard windows, and words in the narrow windows of a round.
+PARTS, ROUNDS, NARROW = 4, 2, 8
+#: A word that takes fewer bytes alone is one match: the dictionary knows it.
+COST = 17
+#: A narrow ordinary window in which so many bytes or more are saved is hard.
+HARD = 1
+LEVEL = 16
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
-#: Words whose distances a worker keeps, and as many again of those used before.
-CACHE_WORDS = 300_000
-#: Longer windows are compared in pieces of so many bytes.
-MAX_WINDOW = 256
+#: Numbers that describe a document.
+FEATURES = 5
 
-OPENING = b" 0123456789abcdef fedcba9876543210 0f1e2d3c4b5a69788796a5b4c3d2e1f0 "
-_EDGE = b".,;:!?()[]{}\"'*#$%&-_<>"
+_TWICE = np.arange(256, dtype=np.uint8)[:, None].repeat(2, axis=1)
+_TWICE[:, 1] = _TWICE[:, 1] * 3 + 37
 
 
-def words(text: str) -> list[bytes]:
-    """Lower-cased words without outer punctuation."""
-    return [w for x in text.lower().encode().split() if (w := x.strip(_EDGE))]
+def doubled(x: bytes) -> bytes:
+    return _TWICE[np.frombuffer(x, np.uint8)].tobytes()
 
 
-class Distance:
-    """Bytes saved by the toxic dictionary, as a share of those that the ordinary one needs.
+def windows(text: str | None, words: int = WORDS, stride: int = STRIDE) -> list[bytes]:
+    """Overlapping windows of lower-cased words; the last one ends with the text. A text without words has none."""
+    w = (text or "").lower().encode("utf-8", "replace").split()
+    out = [b" " + b" ".join(w[i : i + words]) + b" " for i in range(0, max(1, len(w) - (words - stride)), stride)] if w else []
+    return [x[i : i + MAX_WINDOW] for x in out for i in range(0, len(x), MAX_WINDOW)]
+
+
+def compressor(content: bytes):
+    """Lengths under a dictionary with this content; frames without optional fields: only the block counts."""
+    import zstandard as zstd
+
+    p = zstd.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstd.FORMAT_ZSTD1_MAGICLESS, window_log=23)
+    d = zstd.ZstdCompressionDict(doubled(content), dict_type=zstd.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=p)
+    return zstd.ZstdCompressor(dict_data=d, compression_params=p)
 
-    It halves with each byte that the toxic dictionary needs beyond ``one`` match, what windows
-    that it holds whole need: long words save much by a match of a part.
-    """
+
+class Distance:
+    """Compression lengths under the ordinary dictionary, without and with the toxic one before it."""
 
     def __init__(self, toxic: bytes, ordinary: bytes) -> None:
-        import zstandard as zstd
-
-        def compressor(content: bytes):
-            # Magicless and without optional fields: only the block counts.
-            p = zstd.ZstdCompressionParameters.from_level(19, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstd.FORMAT_ZSTD1_MAGICLESS, min_match=4, window_log=18)
-            d = zstd.ZstdCompressionDict(content + OPENING, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=p)
-            return zstd.ZstdCompressor(dict_data=d, compression_params=p)
-
-        self.toxic, self.ordinary = compressor(toxic), compressor(ordinary)
-        self.base = len(self.ordinary.compress(OPENING))
-        own = [len(self.toxic.compress(OPENING + b"<<<" + w)) - self.base for w in toxic.split(b"<<<")[-200:] if w]
-        self.one = sorted(own)[len(own) // 2] if own else 0
-        self.known: dict[bytes, float] = {}
-        self.older: dict[bytes, float] = {}
-
-    def of(self, word: bytes) -> float:
-        d = self.known.get(word)
-        if d is None:
-            d = self.older.get(word)
-            if d is None:
-                d = max(self._piece(word[i : i + MAX_WINDOW]) for i in range(0, len(word), MAX_WINDOW))
-            if len(self.known) >= CACHE_WORDS:
-                self.known, self.older = {}, self.known
-            self.known[word] = d
-        return d
-
-    def _piece(self, word: bytes) -> float:
-        x = OPENING + window(word)
-        plain, mine = len(self.ordinary.compress(x)) - self.base, len(self.toxic.compress(x)) - self.base
-        return max(0.0, (plain - mine) / plain) / 2.0 ** max(0, mine - self.one) if plain > 0 else 0.0
-
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """Largest, second largest and summed distance (the sum by its logarithm)."""
-        d = sorted((self.of(w) for w in words(text or "")), reverse=True)
-        return (d[0], d[1], float(np.log1p(sum(x for x in d if x > 0.4)))) if len(d) > 1 else ((d[0], 0.0, 0.0) if d else (0.0, 0.0, 0.0))
+        self.plain, self.with_toxic = compressor(ordinary), compressor(toxic + ordinary)
+
+    def lengths(self, window: bytes) -> tuple[int, int]:
+        x = doubled(window)
+        return len(self.plain.compress(x)), len(self.with_toxic.compress(x))
+
+    def saved(self, window: bytes) -> int:
+        a, b = self.lengths(window)
+        return a - b
+
+    def features(self, text: str | None) -> list[float]:
+        """Largest, second largest and mean distance, and bytes saved (by their logarithm) at most and in all."""
+        both = np.array([self.lengths(w) for w in windows(text)], float).reshape(-1, 2)
+        if not len(both):
+            return [0.0] * FEATURES
+        saved = both[:, 0] - both[:, 1]
+        far = np.sort(saved / both[:, 0])[::-1]
+        gain = np.maximum(saved - 1, 0)
+        return [far[0], far[1] if len(far) > 1 else 0.0, saved.sum() / both[:, 0].sum(), float(np.log1p(gain.max())), float(np.log1p(gain.sum()))]
 
 
 _DISTANCES: dict[tuple[bytes, bytes], Distance] = {}
@@ -111,44 +121,51 @@ def worker_distance(toxic: bytes, ordinary: bytes) -> Distance:
     return _DISTANCES[toxic, ordinary]
 
 
-def window(word: bytes) -> bytes:
-    """Marks at both ends make a match of the whole word cheaper than one of its ending."""
-    return b"<<<" + word.hex().encode() + b">>>"
+def trained(samples: list[bytes], size: int, segment: int, part: int) -> bytes:
+    """Content of a zstandard dictionary trained on the samples; too few to train on are taken as they are."""
+    import zstandard as zstd
 
+    try:
+        return zstd.train_dictionary(size, samples, k=segment, d=part).as_bytes()
+    except zstd.ZstdError:
+        return b"".join(samples)[-size:]
 
-def places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Words, by ``hash``, and for each the number of distinct (word before, word, word after)."""
-    parts = []
-    for t in texts:
-        h = np.fromiter((hash(w) for w in (b"", *words(t), b"")), np.int64).astype(np.uint64)
-        parts.append(np.stack((h[1:-1], mix(h[1:-1] ^ mix(h[:-2]) ^ mix(mix(h[2:]))))))
-    if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    both = np.concatenate(parts, axis=1)
-    first = np.unique(both[1], return_index=True)[1]
-    return np.unique(both[0][first], return_counts=True)
 
+def narrow(window: bytes) -> list[bytes]:
+    w = window.split()
+    return [b" " + b" ".join(w[i : i + NARROW]) + b" " for i in range(0, len(w), NARROW)]
 
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """Contents of the two dictionaries, the weightiest words last, where matches are cheapest."""
-    (wa, x), (wb, nb) = places(toxic), places(ordinary)
-    at = np.minimum(np.searchsorted(wb, wa), max(0, len(wb) - 1))
-    y = np.where(wb[at] == wa, nb[at], 0) if len(wb) else np.zeros(len(wa), np.int64)
-    a, b = max(1, x.sum()), max(1, nb.sum())
-    share = (x + y) / (a + b)
-    ratio = 2 * (x * np.log(x / (a * share)) + y * np.log(np.maximum(y, 1) / (b * share)))
-    pick = (x >= 3) & (x / a > 2 * y / b) & (ratio >= MIN_RATIO)
-    weight = dict(zip(wa[pick].tolist(), ratio[pick].tolist(), strict=True))
-    mine = b"".join(map(window, _spelled(toxic, weight)))[-DICT_BYTES:]
-    usual = np.argsort(nb, kind="stable")[-DICT_BYTES // 8 :]
-    common = {k: n for k, n in zip(wb[usual].tolist(), nb[usual].tolist(), strict=True) if k not in weight}
-    return mine, b"".join(map(window, _spelled(ordinary, common)))[-len(mine) :] if mine else b""
 
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary, from windows of either class (sorted here: their order doesn't count)."""
+    toxic, ordinary = sorted(toxic), sorted(ordinary)
+    if not toxic or not ordinary:
+        return b"", b""
+    # Sorted windows begin alike; training looks at stretches of the samples, so they are mixed.
+    for x in (toxic, ordinary):
+        np.random.default_rng(len(x)).shuffle(x)
+    base, mine = trained(ordinary, ORDINARY_BYTES, 64, 8), b""
+    for _ in range(PARTS):
+        known, cost = compressor(mine + base), {}
 
-def _spelled(texts: list[str], weight: dict[int, float]) -> list[bytes]:
-    """The words with these hashes, lightest first."""
-    found = {w: weight[h] for t in texts for w in words(t) if (h := hash(w) & 0xFFFFFFFFFFFFFFFF) in weight}
-    return sorted(found, key=lambda w: (found[w], w))
+        def dear(word: bytes, known=known, cost=cost) -> bool:
+            if word not in cost:
+                cost[word] = len(known.compress(doubled(b" " + word[:64] + b" ")))
+            return cost[word] >= COST
+
+        rest = [b"".join(b" " + w + b" " for w in x.split() if dear(w)) for x in toxic]
+        rest = [x for x in rest if x]
+        if not rest:
+            break
+        mine = trained(rest, TOXIC_BYTES, 24, 6) + mine
+    small = [x for w in ordinary for x in narrow(w)]
+    room = HARD_BYTES
+    for _ in range(ROUNDS):
+        d = Distance(mine, base)
+        hard = b"".join(x for x in small if d.saved(x) >= HARD)[:room]
+        room -= len(hard)
+        base = hard + base
+    return mine, base
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
@@ -164,35 +181,70 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
     return w
 
 
-def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample_docs: int = SAMPLE_DOCS) -> tuple[bytes, bytes, np.ndarray] | None:
-    """Dictionaries and calibration from labelled rows; None unless both classes occur.
+def cut_at(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The value of ``z`` from which on calling documents toxic has the best F1, each counted ``weight`` times."""
+    order = np.argsort(-z, kind="stable")
+    z, hit, miss = z[order], np.cumsum((weight * (y == 1))[order]), np.cumsum((weight * (y == 0))[order])
+    last = np.concatenate((z[1:] != z[:-1], [True]))  # equal values are on one side
+    f1 = np.where(last, 2 * hit / (hit[-1] + hit + miss), -1.0)
+    best = int(f1.argmax())
+    return float((z[best] + z[best + 1]) / 2) if best + 1 < len(z) else float(z[best] - 1)
+
 
-    The calibration sees words as unseen documents have them: each half of the sample (by the id's
-    hash) gets its distances from dictionaries of the other half. The final dictionaries are
-    those of the whole sample.
+def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample_docs: int = SAMPLE_DOCS, threshold: float = THRESHOLD, fit_bytes: int = FIT_BYTES) -> tuple[bytes, bytes, np.ndarray] | None:
+    """Dictionaries and calibration from labelled rows; None unless both classes have words in either part.
+
+    Repeated windows count once.
     """
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("i is not null and text is not null and y in (0, 1)")
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
     share = F.when(F.col("y") == 1, min(1.0, sample_docs / sizes[1])).otherwise(min(1.0, ORDINARY * sample_docs / sizes[0]))
-    # Bounded: about (1 + ORDINARY) * sample_docs documents.
-    got = rows.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20)).withColumn("half", F.pmod(F.xxhash64("i", F.lit(7)), F.lit(2))).collect()
-    got.sort(key=lambda r: (r.i, r.text))
-    x, y = [], []
-    for half in (0, 1):
-        distance = Distance(*_of([r for r in got if r.half == half]))
-        x += [distance.features(r.text) for r in got if r.half != half]
-        y += [r.y for r in got if r.half != half]
-    w = calibrate(np.array(x), np.array(y, float))
-    # The classes were sampled at different rates; the bias is put back to the rate of all rows.
-    rate = {c: y.count(c) / sizes[c] for c in (0, 1)}
-    w[-1] -= np.log(rate[1] / rate[0])
-    return *_of(got), w
+    picked = rows.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20))
+    picked = durable(picked.select("text", "y", (F.pmod(F.xxhash64("i", F.lit(7)), F.lit(CALIBRATE)) == 0).alias("apart")))
+    volume = {r.y: r.n for r in picked.where("not apart").groupBy("y").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    rate = {y: min(1.0, fit_bytes / max(1, volume.get(y) or 0)) for y in (0, 1)}
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own: dict[int, set[bytes]] = {0: set(), 1: set()}
+            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
+                own[y].update(w for w in windows(text, WORDS, WORDS) if zlib.crc32(w) < rate[y] * (1 << 32))
+            yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([list(own[0]), list(own[1])], pa.list_(pa.binary()))], ["y", "w"])
+
+    def fit(group: pa.Table) -> pa.Table:
+        """One task: the windows are about 2 * FIT_BYTES."""
+        own: dict[int, set[bytes]] = {0: set(), 1: set()}
+        for y, w in zip(group.column("y").to_pylist(), group.column("w").to_pylist(), strict=True):
+            own[y].update(w)
+        mine, base = dictionaries(list(own[1]), list(own[0]))
+        return pa.table({"toxic": pa.array([mine], pa.binary()), "ordinary": pa.array([base], pa.binary())})
+
+    parts = picked.where("not apart").select("text", "y").mapInArrow(cut, "y int, w array<binary>")
+    got = parts.groupBy(F.lit(1)).applyInArrow(fit, "toxic binary, ordinary binary").collect()
+    model = (bytes(got[0].toxic), bytes(got[0].ordinary)) if got else (b"", b"")
+    if not all(model):
+        return None
+    shared = picked.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [worker_distance(*shared.value).features(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
-def _of(rows: list) -> tuple[bytes, bytes]:
-    return dictionaries([r.text for r in rows if r.y], [r.text for r in rows if not r.y])
+    found = picked.where("apart").select("text", "y").repartition(16).mapInArrow(measure, "y int, x array<double>").collect()
+    release(picked)
+    if len({r.y for r in found}) < 2:
+        return None
+    # In a fixed order, so that sums of floats come out alike.
+    found = np.array(sorted((r.y, *r.x) for r in found))
+    x, y = found[:, 1:], found[:, 0]
+    w = calibrate(x, y)
+    # The classes were sampled at different rates; the threshold is the best one for the rates of all rows.
+    z = np.column_stack((x, np.ones(len(x)))) @ w
+    w[-1] += np.log(threshold / (1 - threshold)) - cut_at(z, y, np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum()))
+    return *model, w
 
 
 def score_toxicity(
@@ -209,17 +261,18 @@ def score_toxicity(
     """One row for each input row: ``keep``, ``score`` (0 to 1) and ``predicted``.
 
     The model learns from rows of ``docs`` where ``train_rows`` is true, joined with ``labels`` on
-    ``id_col``; rows with a null id, text or label are left out, repeated rows count as one
-    place each. Null and empty texts get the score of a text without any distance. If the labels
-    hold fewer than two classes, every score is 0. Rows are independent; an empty table gives
-    an empty result; other columns, of either table, are ignored.
+    ``id_col``; rows with a null id, text or label are left out, repeated rows count as one. Null and
+    empty texts have no window and get the score of a text without any distance. If the labels
+    hold fewer than two classes, with words, in either part of the sample, every score is 0. Rows are
+    independent; long texts are scored whole; an empty table gives an empty result; other columns, of
+    either table, are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).dropna().distinct()
     mine = docs.where(train_rows).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     # Labels are many: their ids are sampled on either side before the join moves any text.
-    model = train(_sampled(mine, marks, sample_docs), "_doc", "_text", "_label", sample_docs)
+    model = train(_sampled(mine, marks, sample_docs), "_doc", "_text", "_label", sample_docs, threshold)
     shared = spark.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
     named = [f"_k{i}" for i in range(len(keep))]
@@ -232,7 +285,7 @@ def score_toxicity(
             if fitted is None:
                 scores = np.zeros(b.num_rows)
             else:
-                x = np.array([distance.features(t) for t in b.column("_text").to_pylist()]).reshape(-1, 3)
+                x = np.array([distance.features(t) for t in b.column("_text").to_pylist()]).reshape(-1, FEATURES)
                 scores = 1 / (1 + np.exp(-np.clip(np.column_stack((x, np.ones(len(x)))) @ fitted[2], -30, 30)))
             yield pa.RecordBatch.from_arrays([*(b.column(a) for a in named), pa.array(scores, pa.float64())], [*named, "score"])
 
