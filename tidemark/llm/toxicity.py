@@ -16,7 +16,7 @@ two (the second a fixed function of the first), which doubles what a match saves
 
 A document's score is a logistic function of its windows' distances (largest, second largest, mean,
 bytes saved), calibrated on labelled training rows that the dictionaries were not trained on (one in
-``CALIBRATE``, by a hash of the id), so that the threshold is where F1 is best.
+``CALIBRATE``, by a hash of the id), so that the threshold is where an F-score that weighs precision more (``BETA``) is best.
 
 The model is fitted on a bounded sample of labelled rows: about ``sample_docs`` whole toxic documents and
 ``ORDINARY`` times as many others, by a hash of the id, and of their windows about ``FIT_BYTES`` for
@@ -57,6 +57,8 @@ HARD = 1
 LEVEL = 16
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
+#: Weight of recall against precision in the choice of the threshold.
+BETA = 0.5
 #: Numbers that describe a document.
 FEATURES = 5
 
@@ -182,12 +184,12 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
 
 
 def cut_at(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The value of ``z`` from which on calling documents toxic has the best F1, each counted ``weight`` times."""
+    """The value of ``z`` from which on calling documents toxic has the best F-score (BETA), each counted ``weight`` times."""
     order = np.argsort(-z, kind="stable")
     z, hit, miss = z[order], np.cumsum((weight * (y == 1))[order]), np.cumsum((weight * (y == 0))[order])
     last = np.concatenate((z[1:] != z[:-1], [True]))  # equal values are on one side
-    f1 = np.where(last, 2 * hit / (hit[-1] + hit + miss), -1.0)
-    best = int(f1.argmax())
+    score = np.where(last, (1 + BETA**2) * hit / (BETA**2 * hit[-1] + hit + miss), -1.0)
+    best = int(score.argmax())
     return float((z[best] + z[best + 1]) / 2) if best + 1 < len(z) else float(z[best] - 1)
 
 
@@ -222,7 +224,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sampl
         return pa.table({"toxic": pa.array([mine], pa.binary()), "ordinary": pa.array([base], pa.binary())})
 
     parts = picked.where("not apart").select("text", "y").mapInArrow(cut, "y int, w array<binary>")
-    got = parts.groupBy(F.lit(1)).applyInArrow(fit, "toxic binary, ordinary binary").collect()
+    got = parts.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fit, "toxic binary, ordinary binary").collect()
     model = (bytes(got[0].toxic), bytes(got[0].ordinary)) if got else (b"", b"")
     if not all(model):
         return None
