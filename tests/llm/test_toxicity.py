@@ -43,14 +43,16 @@ def test_distances_by_brute_force():
     ordinary, toxic = made(r, [], 90), made(r, ["gromblex"], 90)
     mine, base = X.dictionaries([w for t in toxic for w in X.windows(t)], [w for t in ordinary for w in X.windows(t)])
     d = X.Distance(mine, base)
+    runs = lambda x: {x[i : i + X.PIECE] for i in range(len(x) - X.PIECE + 1)}
+    own = runs(mine) - runs(base)
     for t in (toxic[0], ordinary[0], "one", "a " * 70, "Gromblex12 PLAIN3 " * 20, ""):
         assert X.windows(t) == cut(t)
-        both = [(length(base, w), length(mine + base, w)) for w in cut(t)]
-        assert [d.lengths(w) for w in X.windows(t)] == both
-        far = sorted(((a - b) / a for a, b in both), reverse=True) + [0.0, 0.0]
+        both = [(length(base, w), length(mine + base, w) if runs(w) & own else None) for w in cut(t)]
+        both = [(a, a if b is None else b) for a, b in both]
+        far = sorted((max(0, (a - b) / a) for a, b in both), reverse=True) + [0.0, 0.0]
         gain = [max(0, a - b - 1) for a, b in both] or [0]
-        mean = sum(a - b for a, b in both) / max(1, sum(a for a, _ in both))
-        assert np.allclose(d.features(t), [far[0], far[1], mean, np.log1p(max(gain)), np.log1p(sum(gain))])
+        assert np.allclose(d.features(t), [far[0], far[1], sum(far) / max(1, len(both)), np.log1p(max(gain)), np.log1p(sum(gain))])
+    assert d.features(toxic[0])[0] > 0
 
 
 def test_windows_hold_every_word():

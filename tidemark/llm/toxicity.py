@@ -55,6 +55,8 @@ COST = 17
 #: A narrow ordinary window in which so many bytes or more are saved is hard.
 HARD = 1
 LEVEL = 16
+#: Bytes of the runs that only the toxic dictionary has, and bits of the table of them.
+PIECE, PIECE_BITS = 4, 22
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
 #: Weight of recall against precision in the choice of the threshold.
@@ -70,11 +72,20 @@ def doubled(x: bytes) -> bytes:
     return _TWICE[np.frombuffer(x, np.uint8)].tobytes()
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "replace").split()
+
+
+def window_at(w: list[bytes], at: int, words: int = WORDS) -> list[bytes]:
+    """The window that begins with this word, in parts of at most MAX_WINDOW bytes."""
+    x = b" " + b" ".join(w[at : at + words]) + b" "
+    return [x[i : i + MAX_WINDOW] for i in range(0, len(x), MAX_WINDOW)]
+
+
 def windows(text: str | None, words: int = WORDS, stride: int = STRIDE) -> list[bytes]:
     """Overlapping windows of lower-cased words; the last one ends with the text. A text without words has none."""
-    w = (text or "").lower().encode("utf-8", "replace").split()
-    out = [b" " + b" ".join(w[i : i + words]) + b" " for i in range(0, max(1, len(w) - (words - stride)), stride)] if w else []
-    return [x[i : i + MAX_WINDOW] for x in out for i in range(0, len(x), MAX_WINDOW)]
+    w = words_of(text)
+    return [x for at in range(0, max(1, len(w) - (words - stride)), stride) for x in window_at(w, at, words)] if w else []
 
 
 def compressor(content: bytes):
@@ -87,29 +98,68 @@ def compressor(content: bytes):
     return zstd.ZstdCompressor(dict_data=d, compression_params=p)
 
 
+def pieces(content: bytes) -> np.ndarray:
+    """Every run of PIECE bytes, as a number, at its place."""
+    x = np.frombuffer(content, np.uint8)
+    n = len(x) - PIECE + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for k in range(PIECE if n > 0 else 0):
+        out |= x[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def _slot(piece: np.ndarray) -> np.ndarray:
+    return (piece * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PIECE_BITS)).astype(np.int64)
+
+
 class Distance:
-    """Compression lengths under the ordinary dictionary, without and with the toxic one before it."""
+    """Compression lengths under the ordinary dictionary, without and with the toxic one before it.
+
+    A window that has no run of PIECE bytes which only the toxic dictionary has is at distance 0: matches there
+    gain nothing. It isn't compressed, which is why ordinary text costs little. (The runs are kept by
+    a hash; one that falls on another's place is compressed for nothing.)
+    """
 
     def __init__(self, toxic: bytes, ordinary: bytes) -> None:
         self.plain, self.with_toxic = compressor(ordinary), compressor(toxic + ordinary)
+        own = pieces(toxic)
+        self.own = np.zeros(1 << PIECE_BITS, bool)
+        self.own[_slot(own[~np.isin(own, pieces(ordinary))])] = True
 
     def lengths(self, window: bytes) -> tuple[int, int]:
         x = doubled(window)
         return len(self.plain.compress(x)), len(self.with_toxic.compress(x))
 
+    def near(self, content: bytes) -> np.ndarray:
+        """Where in the content there is a run that only the toxic dictionary has."""
+        return np.flatnonzero(self.own[_slot(pieces(content))])
+
     def saved(self, window: bytes) -> int:
+        if not len(self.near(window)):
+            return 0
         a, b = self.lengths(window)
         return a - b
 
     def features(self, text: str | None) -> list[float]:
         """Largest, second largest and mean distance, and bytes saved (by their logarithm) at most and in all."""
-        both = np.array([self.lengths(w) for w in windows(text)], float).reshape(-1, 2)
+        w = words_of(text)
+        if not w:
+            return [0.0] * FEATURES
+        at = self.near(b" " + b" ".join(w) + b" ")
+        if not len(at):
+            return [0.0] * FEATURES
+        # Words that a run touches, and the windows that they are in.
+        starts = np.concatenate(([0], np.cumsum([len(x) + 1 for x in w])))
+        touched = np.unique(np.clip(np.concatenate((np.searchsorted(starts, at, "right") - 1, np.searchsorted(starts, at + PIECE - 1, "right") - 1)), 0, len(w) - 1))
+        n = len(range(0, max(1, len(w) - (WORDS - STRIDE)), STRIDE))
+        some = sorted({i for k in touched.tolist() for i in range(max(0, -(-(k - WORDS + 1) // STRIDE)), min(n - 1, k // STRIDE) + 1)})
+        both = np.array([self.lengths(x) for i in some for x in window_at(w, i * STRIDE) if len(self.near(x))], float).reshape(-1, 2)
         if not len(both):
             return [0.0] * FEATURES
         saved = both[:, 0] - both[:, 1]
         far = np.sort(saved / both[:, 0])[::-1]
         gain = np.maximum(saved - 1, 0)
-        return [far[0], far[1] if len(far) > 1 else 0.0, saved.sum() / both[:, 0].sum(), float(np.log1p(gain.max())), float(np.log1p(gain.sum()))]
+        return [max(0.0, far[0]), max(0.0, far[1]) if len(far) > 1 else 0.0, np.maximum(far, 0).sum() / n, float(np.log1p(gain.max())), float(np.log1p(gain.sum()))]
 
 
 _DISTANCES: dict[tuple[bytes, bytes], Distance] = {}
