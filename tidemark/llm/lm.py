@@ -1,16 +1,23 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of words and of word pairs are gathered over all training documents. They travel as packed
-arrays, dealt by the hash of the (first) word into buckets, so that a bucket holds a word's count and
-everything that follows the word. The filter then gets, for each n-gram, one key for each
-level that the logarithm of its count reaches: a count is read back by asking for levels
-1, 2, 3 ... until one is missing. It has ``MODEL_BITS`` bits however large the corpus is, and
-n-grams are admitted from the largest level down as far as the bits go. The smoothed probability
-of a word after another is
+Counts of words and of n-grams up to ``order`` words are gathered over all training documents. They travel as
+packed arrays, dealt into buckets by a hash of the whole n-gram, so a frequent word or history is spread
+over all of them. An n-gram's count is quantised to u, the power of two at or below it; the filter gets
+one key for each doubling, and u is read back by asking for the first, second, third ... key until one is missing.
+For each history h the filter also holds U(h), the sum of u over what follows h: one key for each binary
+digit of its length and one for each digit that is 1. With p1 for single words,
 
-    p(w | h) = (1 - D * A(h) / c(h)) * (c(w) + 0.1) / (N + 0.1 * (V + 1)) + D * c(h w) / c(h)
+    p1(w)    = (u(w) + ALPHA) / (U1 + ALPHA * (V + 1))
+    p(w | h) = (u(h w) + R(h) * p(w | shorter h)) / (U(h) + R(h))
+    R(h)     = BACKOFF + max(0, u(h) - U(h))
 
-with every count read from the filter; A(h) is the sum of the admitted pairs that begin with h.
+which sums to 1 over the V words and the unknown one, whatever R is, because U(h) is the sum of the very
+numbers that are read. N-grams of two words and more take part from ``min_count`` occurrences on, at any size
+of the corpus. (By then u(h) is at least about U(h); what it has more is followed by something rarer.)
+
+The filter has BITS_A_KEY bits for each key that was counted. It is broadcast; up to MAX_BITS it grows
+with the corpus, beyond that keys get fewer bits each: no n-gram is left out, but more are taken
+for others that occur. A key's part of the filter (of PARTS) is built in one task.
 
 The exact unigram score beside it uses exact counts. Common words (at most ``HEAD_WORDS``, the most frequent)
 are broadcast; every other word of a document is sent to its bucket, where its count is, and
@@ -30,23 +37,25 @@ from pyspark.sql import functions as F
 from tidemark.llm.arrow import bounded_batches
 from tidemark.llm.langid import fold
 from tidemark.llm.words import chunks, hash_words, mix
-from tidemark.storage import durable
+from tidemark.storage import durable, release
 
-#: Bits of the filter: 32 MB. It consists of PARTS parts; a key's part is its first word's hash modulo PARTS.
-MODEL_BITS, PARTS = 1 << 28, 64
-#: Hash functions of a key, and bits that each key is given.
-PROBES, BITS_A_KEY = 4, 8
+#: Longest n-gram, and occurrences from which an n-gram of two words and more is in the model.
+ORDER, MIN_COUNT = 3, 2
+#: Weight of the shorter history, in occurrences.
+BACKOFF = 1.0
+ALPHA = 0.1
+#: Parts of the filter; hash functions and bits of a key; fewest and most bits of the filter (8 MB, 256 MB).
+PARTS, PROBES, BITS_A_KEY, MIN_BITS, MAX_BITS = 64, 6, 10, 1 << 26, 1 << 31
 #: Exact counts of at most so many words are broadcast.
 HEAD_WORDS = 1 << 17
-#: Pairs that occur fewer times are not in the model.
-MIN_PAIR = 2
-DISCOUNT = 0.9
-ALPHA = 0.1
-#: Entries that a task holds before it merges equal ones.
-HOLD = 4_000_000
+#: N-grams that a task holds before it counts and hands them on.
+HOLD = 6_000_000
 
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000001)
-_WORD, _PAIR, _AFTER = (np.uint64(x) for x in (0x1111, 0x2222, 0x3333))
+#: Bits of an n-gram's key that are the last word's; the others are its history's.
+WORD_BITS = np.uint64(24)
+_LENGTH, _DIGIT = np.uint64(0x4444), np.uint64(0x5555)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 PACKED = "bucket int, kind int, keys binary, counts binary"
 LEVELS = 64
 
@@ -57,36 +66,54 @@ def level(c: np.ndarray) -> np.ndarray:
 
 
 def value(q: np.ndarray) -> np.ndarray:
-    """The middle of the counts that have this level."""
-    return np.where(q > 0, 1.5 * 2.0 ** (q - 1) - 0.5, 0.0)
+    """u: the smallest count that has this level."""
+    return np.where(q > 0, 2.0 ** (q - 1), 0.0)
 
 
-def tokens_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(tokens, before, bounds)``: each row's word hashes and END, and the token before each."""
+def tokens_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(tokens, bounds)``: each row's word hashes and END."""
     h, b = hash_words(text)
     n = np.diff(b)
     bounds = np.concatenate(([0], np.cumsum(n + 1)))
     tokens = np.full(bounds[-1], END, np.uint64)
     tokens[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[bounds[:-1]] = START
-    return tokens, before, bounds
+    return tokens, bounds
+
+
+def histories(tokens: np.ndarray, bounds: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n = 2 to ``order``: places of the tokens that end an n-gram, and the hash of the n - 1 tokens before each.
+
+    A text begins with one START; n-grams that would begin before it don't exist.
+    """
+    place = np.arange(len(tokens)) - np.repeat(bounds[:-1], np.diff(bounds))
+    run = tokens  # hash of the last n - 1 tokens, the one at the place included
+    for n in range(2, order + 1):
+        before = np.empty_like(run)
+        before[1:] = run[:-1]
+        if n == 2:
+            before[bounds[:-1]] = START
+        at = np.flatnonzero(place >= n - 2)
+        # The hash of the text's first n - 2 tokens and START.
+        yield at, mix(before[at] ^ np.uint64(n))
+        run = mix(before * _ODD + tokens)
+
 
+def gram_key(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """40 bits of the history and 24 of the last word; what they lack is in the bucket."""
+    return (history >> WORD_BITS << WORD_BITS) | (mix(word) >> (np.uint64(64) - WORD_BITS))
 
-def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """48 bits: 24 of each word's hash, other bits of the first than its bucket."""
-    return ((before >> np.uint64(40)) << np.uint64(24)) | (word >> np.uint64(40))
 
+def gram_bucket(history: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
+    return mix(history * _ODD + word) % np.uint64(buckets)
 
-def _pack6(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
+def _transposed(x: np.ndarray) -> bytes:
+    """Sorted numbers byte by byte: the leading ones compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
-def _unpack6(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+
+def _restored(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,218 +124,257 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _split(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16 if n <= 1 << 16 else np.uint32), kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
-class _Counts:
-    """Counts of keys by bucket, merged now and then."""
-
-    def __init__(self, buckets: int) -> None:
-        self.buckets, self.parts, self.held = buckets, [], 0
-
-    def add(self, bucket: np.ndarray, keys: np.ndarray) -> None:
-        self.parts.append((bucket.astype(np.uint32), keys, np.ones(len(keys), np.int64)))
-        self.held += len(keys)
-        if self.held > HOLD:
-            self.merge()
-
-    def merge(self) -> None:
-        b, k, c = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.lexsort((k, b))
-        b, k, c = b[order], k[order], c[order]
-        first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])))) if len(k) else np.empty(0, np.int64)
-        self.parts = [(b[first], k[first], np.add.reduceat(c, first) if len(k) else c)]
-        self.held = len(first) // 2  # what stays counts half, or merges would come ever faster
-
-    def rows(self, kind: int, wide: bool) -> Iterator[pa.RecordBatch]:
-        if not self.parts:
-            return
-        self.merge()
-        b, k, c = self.parts[0]
-        at = np.searchsorted(b, np.arange(self.buckets + 1))
-        for i in range(self.buckets):
-            keys, counts = k[at[i] : at[i + 1]], c[at[i] : at[i + 1]]
-            if not len(keys):
-                continue
-            if wide:
-                yield _packed(i, kind, keys.tobytes(), counts.astype("<u4").tobytes())
-            else:  # most pairs occur once: these need no count
-                one = counts == 1
-                yield _packed(i, kind, _pack6(keys[one]), b"")
-                yield _packed(i, kind + 1, _pack6(keys[~one]), counts[~one].astype("<u4").tobytes())
+def _counted(parts: list[tuple[np.ndarray, np.ndarray]], kind: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of each bucket: keys that occur once without, others with their counts."""
+    if not parts:
+        return
+    bucket, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order, at = _split(bucket, buckets)
+    keys = keys[order]
+    for i in np.flatnonzero(np.diff(at)).tolist():
+        own = np.sort(keys[at[i] : at[i + 1]])
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        n = np.diff(np.concatenate((first, [len(own)])))
+        own, one = own[first], n == 1
+        yield _packed(i, kind, _transposed(own[one]), b"")
+        yield _packed(i, kind, _transposed(own[~one]), n[~one].astype("<u4").tobytes())
 
 
 def _packed(bucket: int, kind: int, keys: bytes, counts: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([keys], pa.binary()), pa.array([counts], pa.binary())], ["bucket", "kind", "keys", "counts"])
 
 
-def gather(train: DataFrame, buckets: int) -> DataFrame:
-    """Counts of each bucket: kind 1 words (64-bit keys), kind 2 pairs (48-bit) of MIN_PAIR at least."""
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes, bytes]]:
+    for b in batches:
+        yield from zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "keys", "counts")), strict=True)
+
+
+def gather(train: DataFrame, buckets: int, order: int = ORDER, min_count: int = MIN_COUNT) -> DataFrame:
+    """Kind 1: words and counts; kind 2: n-grams that are in the model, with levels; kind 3 (its bucket is a part of the
+    filter): histories, and what u of those n-grams in one bucket adds to U."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, pair = _Counts(buckets), _Counts(buckets)
-        n = np.uint64(buckets)
+        word, gram, held = [], [], 0
         for b in batches:
             for x, y in chunks(b.column(0)):
-                t, h, _ = tokens_of(b.column(0).slice(x, y - x))
-                word.add(t % n, t)
-                pair.add(h % n, pair_key(h, t))
-        yield from word.rows(1, True)
-        yield from pair.rows(2, False)
+                t, bounds = tokens_of(b.column(0).slice(x, y - x))
+                word.append((t % np.uint64(buckets), t))
+                held += len(t)
+                for at, h in histories(t, bounds, order):
+                    gram.append((gram_bucket(h, t[at], buckets), gram_key(h, t[at])))
+                    held += len(at)
+                if held > HOLD:
+                    yield from _counted(word, 1, buckets)
+                    yield from _counted(gram, 2, buckets)
+                    word, gram, held = [], [], 0
+        yield from _counted(word, 1, buckets)
+        yield from _counted(gram, 2, buckets)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
-        for b in batches:
-            for bucket, kind, keys, counts in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "keys", "counts")), strict=True):
-                k = np.frombuffer(keys, "<u8") if kind == 1 else _unpack6(keys)
-                c = np.frombuffer(counts, "<u4").astype(np.int64) if kind != 2 else np.ones(len(k), np.int64)
-                held.setdefault((bucket, min(kind, 2)), []).append((k, c))
-        for (bucket, kind), parts in sorted(held.items()):
-            k, c = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            if kind == 2:
-                k, c = k[c >= MIN_PAIR], c[c >= MIN_PAIR]
-            yield _packed(bucket, kind, k.astype("<u8").tobytes(), c.astype("<i8").tobytes())
-            held[bucket, kind] = []
+        for bucket, kind, keys, counts in _rows_of(batches):
+            k = _restored(keys)
+            held.setdefault((bucket, kind), []).append((k, np.frombuffer(counts, "<u4").astype(np.int64) if counts else np.ones(len(k), np.int64)))
+        for bucket, kind in sorted(held):
+            k, c = _summed(*(np.concatenate(x) for x in zip(*held.pop((bucket, kind)), strict=True)))
+            if kind == 1:
+                yield _packed(bucket, 1, k.astype("<u8").tobytes(), c.astype("<i8").tobytes())
+                continue
+            k, q = k[c >= min_count], level(c[c >= min_count])
+            yield _packed(bucket, 2, k.astype("<u8").tobytes(), q.astype("<i8").tobytes())
+            h, u = _summed(k >> WORD_BITS, value(q).astype(np.int64))
+            to, at = _split(h % np.uint64(PARTS), PARTS)
+            for p in np.flatnonzero(np.diff(at)).tolist():
+                own = to[at[p] : at[p + 1]]
+                yield _packed(p, 3, h[own].astype("<u8").tobytes(), u[own].astype("<i8").tobytes())
 
     return train.mapInArrow(count, PACKED).repartition(buckets, "bucket").mapInArrow(merge, PACKED)
 
 
-def _after(k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First word's 24 bits of each pair key, and the sum of its pairs."""
-    return _summed(k >> np.uint64(24), c)
+def summary(counts: DataFrame) -> tuple[int, int, int, int, np.ndarray]:
+    """Tokens, distinct tokens, their U1, keys of the filter (U's at most), and how many words have each level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, kind, _, raw in _rows_of(batches):
+            c = np.frombuffer(raw, "<i8")
+            q = c if kind == 2 else level(c)
+            h = np.bincount(q, minlength=LEVELS)
+            n = len(h)
+            # A sum has one key for each digit and at most one more, and half of these are 0.
+            keys = int(q.sum()) if kind != 3 else int(1.5 * q.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(h, pa.int64()), pa.array([int(c.sum())] + [0] * (n - 1), pa.int64()), pa.array([keys] + [0] * (n - 1), pa.int64())], ["kind", "q", "n", "total", "keys"])
+
+    rows = counts.select("bucket", "kind", F.lit(b"").alias("keys"), "counts").mapInArrow(run, "kind int, q int, n long, total long, keys long")
+    by = np.zeros(LEVELS, np.int64)
+    total = keys = 0
+    for r in rows.groupBy("kind", "q").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("keys").alias("keys")).collect():
+        keys += r["keys"]
+        if r.kind == 1:
+            by[r.q] += r.n
+            total += r.total
+    u = int((by[1:] * 2 ** np.arange(LEVELS - 1, dtype=object)).sum())
+    return total, int(by[1:].sum()), u, keys, by
+
+
+def filter_bits(keys: int) -> int:
+    """Bits of each of the PARTS parts."""
+    return int(min(MAX_BITS, max(MIN_BITS, keys * BITS_A_KEY)) // PARTS // 8 * 8)
+
+
+def _filter_slots(key: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Bit places inside a part of ``size`` bits."""
+    base = mix(key)
+    step = mix(base + _ODD) | np.uint64(1)
+    for i in range(PROBES):
+        yield ((base + np.uint64(i) * step) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
+
 
+def _nth(key: np.ndarray, j: int, tag: np.uint64 = np.uint64(0)) -> np.ndarray:
+    """The key's ``j``-th key of a sort."""
+    return mix(key ^ tag) + np.uint64(j) * _ODD
 
-def summary(counts: DataFrame) -> tuple[int, int, np.ndarray]:
-    """Tokens, distinct tokens, and for words and pairs how many have each level."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for kind, raw in zip(b.column("kind").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                c = np.frombuffer(raw, "<i8")
-                h = np.bincount(level(c), minlength=LEVELS)
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * LEVELS, pa.int32()), pa.array(range(LEVELS), pa.int32()), pa.array(h, pa.int64()), pa.array([int(c.sum())] + [0] * (LEVELS - 1), pa.int64())], ["kind", "q", "n", "total"])
-
-    rows = counts.mapInArrow(run, "kind int, q int, n long, total long").groupBy("kind", "q").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
-    by = np.zeros((3, LEVELS), np.int64)
-    total = 0
-    for r in rows:
-        by[r.kind, r.q] = r.n
-        total += r.total if r.kind == 1 else 0
-    return total, int(by[1].sum()), by[1:]
-
-
-def admitted(by: np.ndarray, keys: int) -> tuple[int, int]:
-    """Smallest level of words and of pairs in the model: words first, then pairs, each from the top down."""
-    out = []
-    for h in by:
-        q = LEVELS - 1
-        while q > 0:
-            need = h[q] * (q + 1)  # each level is a key, and one may be needed for A(h)
-            if need > keys:
-                break
-            keys -= need
-            q -= 1
-        out.append(q + 1)
-    return out[0], out[1]
+def _word_key(word: np.ndarray) -> np.ndarray:
+    return mix(word ^ np.uint64(0x1111))
 
 
-def _filter_slots(key: np.ndarray, q: np.ndarray) -> Iterator[np.ndarray]:
-    """Bit places inside a part for level ``q`` of each key."""
-    base = mix(key + q.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    step = mix(base) | np.uint64(1)
-    for i in range(PROBES):
-        yield (base + np.uint64(i) * step) & np.uint64(MODEL_BITS // PARTS - 1)
+def _gram_id(key: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    return mix(key ^ mix(bucket ^ np.uint64(0x2222)))
 
 
-def build_filter(counts: DataFrame, least: tuple[int, int], buckets: int) -> np.ndarray:
-    """The filter's bits. Parts are made where their buckets are and sent to the driver: MODEL_BITS in all."""
+def _history_key(history: np.ndarray) -> np.ndarray:
+    """Of its 40 bits."""
+    return mix(history ^ np.uint64(0x3333 << 48))
 
-    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Before the shuffle: what is admitted is bounded by the bits, what was counted isn't."""
-        for b in batches:
-            for bucket, kind, keys, raw in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "keys", "counts")), strict=True):
-                k, c = np.frombuffer(keys, "<u8"), np.frombuffer(raw, "<i8")
-                keep = level(c) >= least[kind - 1]
-                yield _packed(bucket, kind, k[keep].tobytes(), c[keep].tobytes())
+
+def build_filter(counts: DataFrame, size: int) -> np.ndarray:
+    """The filter's bits. Each part is made in one task and sent to the driver: PARTS * size bits in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
-        for b in batches:
-            for bucket, kind, keys, raw in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "keys", "counts")), strict=True):
-                k, c = np.frombuffer(keys, "<u8"), np.frombuffer(raw, "<i8")
-                bits = parts.setdefault(bucket % PARTS, np.zeros(MODEL_BITS // PARTS, bool))
-                todo = [(mix(k ^ _WORD), c)] if kind == 1 else [(mix(k ^ mix(np.array([bucket], np.uint64) ^ _PAIR)), c)]
-                if kind == 2:
-                    a, s = _after(k, c)
-                    todo.append((mix(a ^ mix(np.array([bucket], np.uint64) ^ _AFTER)), s))
-                for key, n in todo:
-                    q = level(n)
-                    for j in range(1, int(q.max(initial=0)) + 1):
-                        for slot in _filter_slots(key[q >= j], np.full((q >= j).sum(), j)):
-                            bits[slot] = True
+        sums: dict[int, list] = {}
+
+        def put(bits: np.ndarray, key: np.ndarray) -> None:
+            for slot in _filter_slots(key, size):
+                bits[slot.astype(np.int64)] = True
+
+        for bucket, kind, keys, raw in _rows_of(batches):
+            k, c = np.frombuffer(keys, "<u8"), np.frombuffer(raw, "<i8")
+            bits = parts.setdefault(bucket % PARTS, np.zeros(size, bool))
+            if kind == 3:
+                sums.setdefault(bucket, []).append((k, c))
+                continue
+            key, q = (_word_key(k), level(c)) if kind == 1 else (_gram_id(k, np.uint64(bucket)), c)
+            for j in range(1, int(q.max(initial=0)) + 1):
+                put(bits, _nth(key[q >= j], j))
+        for part, lists in sums.items():
+            k, u = _summed(*(np.concatenate(x) for x in zip(*lists, strict=True)))
+            key, length = _history_key(k), level(u)
+            for j in range(1, int(length.max(initial=0)) + 1):
+                put(parts[part], _nth(key[length >= j], j, _LENGTH))
+                put(parts[part], _nth(key[(length > j) & (u >> (j - 1) & 1 == 1)], j, _DIGIT))
         for p, bits in parts.items():
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
 
-    out = np.zeros(MODEL_BITS // 8, np.uint8)
-    size = MODEL_BITS // PARTS // 8
-    rows = counts.mapInArrow(admit, PACKED).withColumn("_part", F.col("bucket") % PARTS).repartition(PARTS, "_part").drop("_part").mapInArrow(run, "part int, bits binary")
-    for r in rows.collect():
-        out[r.part * size : (r.part + 1) * size] |= np.frombuffer(bytes(r.bits), np.uint8)
+    out = np.zeros(PARTS * size // 8, np.uint8)
+    rows = counts.withColumn("_part", F.col("bucket") % PARTS).repartition(PARTS, "_part").drop("_part").mapInArrow(run, "part int, bits binary")
+    for r in rows.toLocalIterator():
+        out[r.part * size // 8 : (r.part + 1) * size // 8] |= np.frombuffer(bytes(r.bits), np.uint8)
     return out
 
 
-def read_levels(bits: np.ndarray, part: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Level of each key: membership probes until one fails."""
-    q = np.zeros(len(key), np.int64)
-    alive, j = np.arange(len(key)), 1
-    while len(alive) and j < LEVELS:
-        base = part[alive].astype(np.uint64) * np.uint64(MODEL_BITS // PARTS)
-        hit = np.ones(len(alive), bool)
-        for slot in _filter_slots(key[alive], np.full(len(alive), j)):
-            at = base + slot
-            hit &= ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-        alive = alive[hit]
-        q[alive] = j
-        j += 1
-    return q
-
-
 class Model:
     """What is broadcast: the filter, the head of the exact counts, and the totals."""
 
-    def __init__(self, bits: np.ndarray, head: tuple[np.ndarray, np.ndarray], tokens: int, kinds: int, buckets: int) -> None:
-        self.bits, self.head, self.tokens, self.kinds, self.buckets = bits, head, tokens, kinds, buckets
-
-    def log_probabilities(self, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 p(token | token before)."""
-        kinds, at = np.unique(np.concatenate((tokens, np.where(before == START, END, before))), return_inverse=True)
-        c = value(read_levels(self.bits, kinds % np.uint64(PARTS), mix(kinds ^ _WORD)))[at]
-        here, there = c[: len(tokens)], c[len(tokens) :]
-        first, back = np.unique(before, return_inverse=True)
-        bucket = first % np.uint64(self.buckets)
-        after = value(read_levels(self.bits, first % np.uint64(PARTS), mix((first >> np.uint64(40)) ^ mix(bucket ^ _AFTER))))[back]
-        pair = value(read_levels(self.bits, before % np.uint64(PARTS), mix(pair_key(before, tokens) ^ mix((before % np.uint64(self.buckets)) ^ _PAIR))))
-        pair = np.where(pair > 0, pair + 0.5, 0)  # of 2 and 3 and so on: MIN_PAIR is the least
-        safe = np.maximum(there, 1)
-        rest = 1 - DISCOUNT * np.where(there > 0, np.minimum(after / safe, 1), 0)
-        one = (here + ALPHA) / (self.tokens + ALPHA * (self.kinds + 1))
-        return np.log10(rest * one + DISCOUNT * np.where(there > 0, np.minimum(pair / safe, 1), 0))
+    def __init__(self, bits: np.ndarray, size: int, head: tuple[np.ndarray, np.ndarray], tokens: int, kinds: int, units: int, texts: int, buckets: int, order: int) -> None:
+        self.bits, self.size, self.head, self.tokens, self.kinds, self.units, self.texts, self.buckets, self.order = bits, size, head, tokens, kinds, units, texts, buckets, order
+
+    def has(self, part: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Membership of each key: all its bits are set."""
+        hit = np.ones(len(key), bool)
+        alive = np.arange(len(key))
+        base = part.astype(np.uint64) * np.uint64(self.size)
+        # Most keys that are missing fail at the first bits; the others aren't looked at any more.
+        for slot in _filter_slots(key, self.size):
+            at = base[alive] + slot[alive]
+            good = (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+            hit[alive[good == 0]] = False
+            alive = alive[good == 1]
+            if not len(alive):
+                break
+        return hit
+
+    def levels(self, part: np.ndarray, key: np.ndarray, tag: np.uint64 = np.uint64(0)) -> np.ndarray:
+        """Level of each key: membership probes until one fails."""
+        q = np.zeros(len(key), np.int64)
+        alive, j = np.arange(len(key)), 1
+        while len(alive) and j < LEVELS:
+            alive = alive[self.has(part[alive], _nth(key[alive], j, tag))]
+            q[alive] = j
+            j += 1
+        return q
+
+    def words(self, word: np.ndarray) -> np.ndarray:
+        """u of each word."""
+        some, at = np.unique(word, return_inverse=True)
+        return value(self.levels(some % np.uint64(PARTS), _word_key(some)))[at]
+
+    def grams(self, history: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """u of each n-gram."""
+        bucket = gram_bucket(history, word, self.buckets)
+        return value(self.levels(bucket % np.uint64(PARTS), _gram_id(gram_key(history, word), bucket)))
+
+    def sums(self, history: np.ndarray) -> np.ndarray:
+        """U of each history."""
+        some, at = np.unique(history >> WORD_BITS, return_inverse=True)
+        part, key = some % np.uint64(PARTS), _history_key(some)
+        length = self.levels(part, key, _LENGTH)
+        out = value(length)
+        for j in range(1, int(length.max(initial=0))):
+            more = np.flatnonzero(length > j)
+            out[more] += self.has(part[more], _nth(key[more], j, _DIGIT)) * 2.0 ** (j - 1)
+        return out[at]
+
+    def log_probabilities(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """log10 p(token | the order - 1 tokens before it)."""
+        shorter = self.words(tokens)  # u of the n-gram of one word less that ends here
+        p = (shorter + ALPHA) / (self.units + ALPHA * (self.kinds + 1))
+        for n, (at, h) in enumerate(histories(tokens, bounds, self.order), 2):
+            # u of the history itself: the shorter n-gram that ends one place before.
+            own = np.empty(len(tokens))
+            own[1:] = shorter[:-1]
+            if n == 2:
+                own[bounds[:-1]] = value(level(np.array([self.texts])))[0]
+            own, u = own[at], np.zeros(len(at))
+            # An n-gram can't be in the model unless both shorter ones are.
+            some = np.flatnonzero((own > 0) & (shorter[at] > 0))
+            u[some] = self.grams(h[some], tokens[at[some]])
+            follow = np.zeros(len(at))
+            some = np.flatnonzero(own > 0)
+            follow[some] = self.sums(h[some])
+            rest = BACKOFF + np.maximum(0, own - follow)
+            p[at] = np.where(follow > 0, (u + rest * p[at]) / (follow + rest), p[at])
+            shorter = np.zeros(len(tokens))
+            shorter[at] = u
+        return np.log10(p)
 
 
 def head_words(counts: DataFrame, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent words and their counts, sorted by key, at most HEAD_WORDS."""
     q, room = LEVELS, HEAD_WORDS
-    while q > 1 and by[0, q - 1] <= room:
+    while q > 1 and by[q - 1] <= room:
         q -= 1
-        room -= by[0, q]
+        room -= by[q]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for keys, raw in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                k, c = np.frombuffer(keys, "<u8"), np.frombuffer(raw, "<i8")
-                keep = level(c) >= q
-                yield _packed(0, 1, k[keep].tobytes(), c[keep].tobytes())
+        for _, _, keys, raw in _rows_of(batches):
+            k, c = np.frombuffer(keys, "<u8"), np.frombuffer(raw, "<i8")
+            keep = level(c) >= q
+            yield _packed(0, 1, k[keep].tobytes(), c[keep].tobytes())
 
     rows = counts.where("kind = 1").mapInArrow(run, PACKED).select("keys", "counts").collect()
     k = np.frombuffer(b"".join(bytes(r["keys"]) for r in rows), "<u8")
@@ -323,23 +389,28 @@ def score_text(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: tuple[str, ...] = (),
+    order: int = ORDER,
+    min_count: int = MIN_COUNT,
 ) -> DataFrame:
     """One row for each input row: ``keep``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     The model learns from rows where ``train_rows`` is true (null: no). A null text counts as
-    empty; it has one token, the end. Repeated rows are trained on, and scored, one by one. If
+    empty; it has one token, the end; the longest text is one run of tokens, whole. Repeated rows are trained on, and scored, one by one. If
     nothing could be learned, counts and totals are 0 and every token has the same probability.
     An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # A bucket holds about what one partition of the input has.
-    buckets = PARTS * max(1, -(-docs.select(text_col).rdd.getNumPartitions() // PARTS))
-    counts = durable(gather(docs.where(train_rows).select(text), buckets))
-    n, v, by = summary(counts)
-    bits = build_filter(counts, admitted(by, MODEL_BITS // BITS_A_KEY), buckets)
-    shared = spark.sparkContext.broadcast(Model(bits, head_words(counts, by), n, v, buckets))
+    # A bucket holds about what one shuffle partition does.
+    buckets = PARTS * max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTS))
+    trained = docs.where(train_rows).select(text)
+    counts = durable(gather(trained, buckets, order, min_count))
+    n, v, units, keys, by = summary(counts)
+    size = filter_bits(keys)
+    model = Model(build_filter(counts, size), size, head_words(counts, by), n, v, units, trained.count(), buckets, order)
+    shared = spark.sparkContext.broadcast(model)
+    del model
     kinds = dict(docs.dtypes)
     named = [f"_k{i}" for i in range(len(keep))]
     fields = [f"{a} {kinds[c]}" for a, c in zip(named, keep, strict=True)]
@@ -352,20 +423,20 @@ def score_text(
         for b in batches:
             for x, y in chunks(b.column("_text")):
                 part = b.slice(x, y - x)
-                t, h, bounds = tokens_of(part.column("_text"))
+                t, bounds = tokens_of(part.column("_text"))
                 doc = np.repeat(np.arange(y - x), np.diff(bounds))
                 at = np.minimum(np.searchsorted(head, t), max(0, len(head) - 1))
                 common = head[at] == t if len(head) else np.zeros(len(t), bool)
                 logs = np.log10(head_counts + ALPHA)
                 base = np.bincount(doc[common], logs[at[common]] if len(head) else None, y - x)
                 known = np.bincount(doc[common], minlength=y - x)
-                score = np.add.reduceat(m.log_probabilities(t, h), bounds[:-1])
+                score = np.add.reduceat(m.log_probabilities(t, bounds), bounds[:-1])
                 yield _scan_rows(part, named, run_id, np.diff(bounds), known, base, score)
                 rare_doc, rare = doc[~common], t[~common]
-                order, cuts = _split((rare % np.uint64(m.buckets)).astype(np.int64), m.buckets)
+                dealt, cuts = _split((rare % np.uint64(m.buckets)).astype(np.int64), m.buckets)
                 full = np.flatnonzero(np.diff(cuts))
                 if len(full):
-                    yield _bucket_rows(part, named, run_id, full, [rare[order[cuts[i] : cuts[i + 1]]].tobytes() for i in full], [rare_doc[order[cuts[i] : cuts[i + 1]]].astype("<u4").tobytes() for i in full])
+                    yield _bucket_rows(part, named, run_id, full, [rare[dealt[cuts[i] : cuts[i + 1]]].tobytes() for i in full], [rare_doc[dealt[cuts[i] : cuts[i + 1]]].astype("<u4").tobytes() for i in full])
                 run_id += 1
 
     schema = ", ".join([*fields, "run long, place int, n_tokens long, n_known long, base double, score double, bucket int, kind int, keys binary, counts binary"])
