@@ -4,12 +4,14 @@ Base spans are leftmost, non-overlapping matches of a kind's pattern that pass i
 engine recurses over a repeated group, so "digits with single separators" and "labels with dots"
 are first made runs of one character class: the separators between digits (and the dots between domain
 characters) are replaced by private characters of the same length. Places come from the gaps between
-matches: ``split`` gives the gaps, ``regexp_extract_all`` the matches, and lengths add up.
-
-Bootstrapping: candidates are words with a digit. Each has lexical patterns, namely the word before
-it (``L:``) and a key inside it (``K:``, as in ``login=``). Words that overlap a base span are
-the seeds. A pattern's score is the share of its extractions that are known identifiers; for ``L:`` all
-occurrences of the word before count as extractions, whatever follows, so common words score near 0. High-scoring
+matches: ``split`` gives the gaps, ``regexp_extract_all`` the matches, and lengths add up. Sums run in
+blocks of the square root of their number, so that a text of a megabyte of numbers takes seconds.
+
+Bootstrapping: candidates are words with a digit. Each has lexical patterns: the word before it (``L:``), the
+two words before it (``D:``), the words on both sides (``B:``) and a key inside it (``K:``, as in
+``login=``). Words that overlap a base span are the seeds. A pattern's score is the share of its
+extractions that are known identifiers; extractions are the candidates that it stands with, and for ``L:`` all
+occurrences of the word before, whatever follows, so common words score near 0. High-scoring
 patterns with enough distinct known values make their other candidates, and those values wherever they
 stand, known; this is repeated ``ROUNDS`` times over the graph of patterns and values.
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.hashing import let
 from tidemark.storage import durable, release
 
 #: The kinds in the order in which spans at one place are listed.
@@ -50,19 +53,47 @@ ROUNDS = 3
 MIN_VALUES, MIN_SCORE = 5, 0.5
 
 
+def _last(values: Column) -> Column:
+    return F.get(values, F.size(values) - 1)
+
+
+def running(values: Column, op) -> Column:
+    """Running totals of an array of integers under ``op``, an associative function for which 0 changes nothing.
+
+    Appending to an array copies it. Blocks of about the square root of the size keep that to n times its root.
+    """
+    zero = F.array().cast("array<int>")
+
+    def over(p: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(p))).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(p) / size).cast("int"), F.lit(1)) - 1), lambda i: F.slice(p, i * size + 1, size))
+        inside = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, x: F.array_append(acc, op(F.coalesce(_last(acc), F.lit(0)), x))))
+
+        def joined(t: Column) -> Column:
+            before = F.aggregate(t, F.array(F.lit(0)), lambda acc, b: F.array_append(acc, op(_last(acc), F.coalesce(_last(b), F.lit(0)))))
+            return F.flatten(F.zip_with(t, F.slice(before, F.lit(1), F.size(t)), lambda b, k: F.transform(b, lambda x: op(k, x))))
+
+        return let(inside, joined)
+
+    return let(values, over)
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, text) of all matches, in code points."""
-    p = F.lit(pattern)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,t:string>>").alias("out"))
-    found = F.zip_with(F.regexp_extract_all(text, p, 0), F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    """Array of (s, e, t, g, r) of all matches: start and end in code points, text, the gaps before and after."""
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["g"])
-        return F.struct((s + F.length(x["m"])).alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), (s + F.length(x["m"])).alias("e"), x["m"].alias("t"))).alias("out"))
+    def placed(gaps: Column) -> Column:
+        own = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), 0), gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+        both = F.zip_with(own, F.slice(gaps, F.lit(2), F.greatest(F.size(gaps), F.lit(1))), lambda x, r: F.struct(x["m"].alias("m"), x["g"].alias("g"), r.alias("r")))
+        # There is one gap more than matches; it pairs with no match and adds nothing.
+        real = F.filter(both, lambda x: x["m"].isNotNull())
 
-    # There is one gap more than matches; it pairs with no match and adds nothing.
-    real = F.filter(found, lambda x: x["m"].isNotNull())
-    return F.aggregate(real, zero, step, lambda acc: acc["out"])
+        def ends(p: Column) -> Column:
+            until = running(F.transform(p, lambda x: F.length(x["g"]) + F.length(x["m"])), lambda a, x: a + x)
+            return F.zip_with(p, until, lambda x, e: F.struct((e - F.length(x["m"])).alias("s"), e.alias("e"), x["m"].alias("t"), x["g"].alias("g"), x["r"].alias("r")))
+
+        return let(real, ends)
+
+    return let(F.split(text, pattern, -1), placed)
 
 
 def _digits(t: Column) -> Column:
@@ -120,33 +151,58 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["o"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def _candidates(text: Column) -> Column:
-    """Array of (s, e, v, left, key): words with a digit, without outer punctuation."""
-    m, gaps = _matches(text, WORD), F.split(text, WORD, -1)
-    near = lambda g: F.regexp_extract(F.right(g, F.lit(REACH)), r"(?:^|\s)(\S+)\s*$", 1)
+CANDIDATE = "struct<s:int,e:int,v:string,left:string,two:string,right:string,key:string,seed:boolean>"
+
 
-    def one(x: Column, i: Column) -> Column:
+def _candidates(text: Column, base: Column) -> Column:
+    """Array of CANDIDATE: words with a digit, without outer punctuation; ``seed`` if a base span overlaps."""
+    before = lambda g, n: F.regexp_replace(F.regexp_extract(F.right(g, F.lit(REACH)), rf"(?:^|\s)(\S+(?:\s+\S+){{{n - 1}}})\s*$", 1), r"\s+", " ")
+
+    def one(x: Column) -> Column:
         lead = F.length(F.regexp_extract(x["t"], r"^([\p{Punct}&&[^+]]*)", 1))
         core = F.regexp_replace(F.substring(x["t"], lead + 1, F.length(x["t"])), r"[\p{Punct}]+$", "")
         key = F.lower(F.regexp_extract(core, r"^([A-Za-z][A-Za-z0-9_.-]{0,40}[=:])", 1))
         body = F.substring(core, F.length(key) + 1, F.length(core))
         start = x["s"] + lead + F.length(key)
-        return F.struct(start.alias("s"), (start + F.length(body)).alias("e"), F.lower(body).alias("v"), F.lower(near(F.get(gaps, i))).alias("left"), key.alias("key"))
+        right = F.lower(F.regexp_extract(F.left(x["r"], F.lit(REACH)), r"^\s*(\S+)", 1))
+        return F.struct(start.alias("s"), (start + F.length(body)).alias("e"), F.lower(body).alias("v"), F.lower(before(x["g"], 1)).alias("left"), F.lower(before(x["g"], 2)).alias("two"), right.alias("right"), key.alias("key"))
+
+    words = F.filter(F.transform(_matches(text, WORD), one), lambda x: (F.length(x["v"]) >= MIN_CHARS) & (F.length(_digits(x["v"])) >= MIN_DIGITS))
+    return let(words, lambda c: F.zip_with(c, overlapping(c, base), lambda x, hit: x.withField("seed", hit)))
+
+
+def overlapping(words: Column, base: Column) -> Column:
+    """For each word whether a base span begins before its end and ends after its start: one pass over both in order."""
+    event = "array<struct<at:int,kind:int,far:int,i:int>>"
+    spans = F.transform(base, lambda b: F.struct(b["s"].alias("at"), F.lit(1).alias("kind"), b["e"].alias("far"), F.lit(-1).alias("i"))).cast(event)
+    ends = F.transform(words, lambda w, i: F.struct(w["e"].alias("at"), F.lit(0).alias("kind"), w["s"].alias("far"), i.alias("i"))).cast(event)
+
+    def hits(events: Column) -> Column:
+        until = running(F.transform(events, lambda x: F.when(x["kind"] == 1, x["far"]).otherwise(0)), lambda a, x: F.greatest(a, x))
+        asked = F.zip_with(events, until, lambda x, far: F.struct(x["i"].alias("i"), (far > x["far"]).alias("hit")))
+        return F.transform(F.array_sort(F.filter(asked, lambda x: x["i"] >= 0)), lambda x: x["hit"])
+
+    return let(F.array_sort(F.concat(spans, ends)), hits)
+
 
-    return F.filter(F.transform(m, one), lambda x: (F.length(x["v"]) >= MIN_CHARS) & (F.length(_digits(x["v"])) >= MIN_DIGITS))
+def _patterns() -> Column:
+    """Array of the patterns that a candidate stands with."""
+    named = lambda tag, some, *parts: F.when(some, F.concat_ws("|", F.lit(tag), *parts))
+    left, two, right, key = (F.col(x) for x in ("left", "two", "right", "key"))
+    return F.array_compact(F.array(named("L:", left != "", left), named("D:", two != "", two), named("B:", (left != "") & (right != ""), left, right), named("K:", key != "", key)))
 
 
 def bootstrap(occurrences: DataFrame, words: DataFrame) -> DataFrame:
     """``uid, s, e`` of candidates that context makes known and that no base span overlaps.
 
-    ``occurrences`` has ``uid, s, e, v, left, key, seed``; ``words`` the count ``n`` of each ``word``
+    ``occurrences`` has ``uid`` and the fields of CANDIDATE; ``words`` the count ``n`` of each ``word``
     that occurs anywhere.
     """
-    pattern = F.explode(F.array_compact(F.array(F.when(F.col("left") != "", F.concat(F.lit("L:"), "left")), F.when(F.col("key") != "", F.concat(F.lit("K:"), "key")))))
+    pattern = F.explode(_patterns())
     # One row for each pattern and value: partial aggregates, so a frequent pattern isn't a large group.
     graph = durable(occurrences.select("v", pattern.alias("p"), "seed").groupBy("p", "v").agg(F.count("*").alias("n"), F.max(F.col("seed").cast("int")).alias("seed")))
     total = graph.groupBy("p").agg(F.sum("n").alias("own"))
-    left = words.select(F.concat(F.lit("L:"), "word").alias("p"), F.col("n").alias("all"))
+    left = words.select(F.concat_ws("|", F.lit("L:"), "word").alias("p"), F.col("n").alias("all"))
     total = durable(total.join(left, "p", "left").select("p", F.greatest("own", F.coalesce("all", "own")).alias("all")))
     known = durable(graph.groupBy("v").agg(F.max("seed").alias("known")).where("known = 1").select("v"))
     patterns = None
@@ -171,9 +227,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
-    none = F.array().cast("array<struct<s:int,e:int,v:string,left:string,key:string>>")
-    seen = durable(rows.select("id", base_spans(F.col("t")).alias("base"), F.when(F.col("t").rlike("[0-9]"), _candidates(F.col("t"))).otherwise(none).alias("cand")).withColumn("uid", F.monotonically_increasing_id()))
-    occurrences = seen.select("uid", "base", F.explode("cand").alias("c")).select("uid", "c.*", F.exists("base", lambda b: (b["s"] < F.col("c.e")) & (b["e"] > F.col("c.s"))).alias("seed"))
+    none = F.array().cast(f"array<{CANDIDATE}>")
+    based = rows.select("id", "t", base_spans(F.col("t")).alias("base"))
+    found = F.when(F.col("t").rlike("[0-9]"), _candidates(F.col("t"), F.col("base")).cast(f"array<{CANDIDATE}>")).otherwise(none)
+    seen = durable(based.select("id", "base", found.alias("cand")).withColumn("uid", F.monotonically_increasing_id()))
+    occurrences = seen.select("uid", F.explode("cand").alias("c")).select("uid", "c.*")
     words = rows.select(F.explode(F.split(F.lower("t"), r"\s+")).alias("word")).where("word != ''").groupBy("word").agg(F.count("*").alias("n"))
     found = bootstrap(occurrences, words).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("s", F.lit(len(KINDS)).alias("o"), "e"))).alias("found"))
     empty = F.array().cast("array<struct<s:int,o:int,e:int>>")
