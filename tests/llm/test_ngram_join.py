@@ -76,6 +76,22 @@ def test_empty(spark):
     assert J.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_drop_near_copies_judges_rows(spark):
+    w = " ".join(f"w{i}" for i in range(60))
+    rows = [(0, w), (5, w), (5, "one of its own kind that stays"), (None, w + " more"), (None, "null id and unique"), (7, None), (7, ""), (9, "copy of it"), (9, "copy of it"), (None, "both null"), (None, "both null")]
+    df = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, set string, row int")
+    out = J.drop_near_copies(df)
+    want = [(0, w), (5, "one of its own kind that stays"), (None, "null id and unique"), (7, None), (7, ""), (9, "copy of it"), (None, "both null")]
+    assert out.columns == df.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_long_text(spark):
+    long = " ".join(f"v{i % 9973}" for i in range(120_000))
+    rows = [(1, long), (2, long + " tail"), (3, long[: len(long) // 2]), (4, "short")]
+    out = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=90)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out.collect()), key=repr) == brute(rows, 3, 90)
+
+
 def test_bitmaps_bound_the_difference():
     r = np.random.default_rng(0)
     for n, m in ((100, 100), (700, 640), (3000, 2900)):

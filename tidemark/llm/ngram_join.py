@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import bounded_batches
@@ -115,8 +115,8 @@ def fold_bits(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def shingled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """``id``, ``n``, ``set`` (null without words), ``prefix`` and ``bits`` of each document."""
+def shingled(docs: DataFrame, id_col: str, row: Column, text_col: str, words: int, percent: int, levels: np.ndarray) -> DataFrame:
+    """``id``, ``row``, ``n``, ``set`` (null without words), ``prefix`` and ``bits`` of each document."""
     kind = dict(docs.dtypes)[id_col]
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -131,10 +131,10 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
                     key.append(set_key(t) if len(t) else None)
                     prefix.append(t[: prefix_length(len(t), percent)].view(np.int64) if len(t) else None)
                     bits.append(bitmap(t, percent) if len(t) else None)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["id", "n", "set", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["id", "row", "n", "set", "prefix", "bits"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n long, set long, prefix array<long>, bits binary")
+    rows = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, row long, n long, set long, prefix array<long>, bits binary")
 
 
 def _close(n1, r1, n2, r2, percent: int):
@@ -360,31 +360,42 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     aren't the smallest; a component of null ids only has a null id. An empty table gives an
     empty result; other columns are ignored.
     """
+    out = _classes(docs, id_col, F.lit(None), text_col, words, percent)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
+
+
+def _classes(docs: DataFrame, id_col: str, row: Column, text_col: str, words: int, percent: int) -> DataFrame:
+    """``id``, ``row``, ``n``, ``component_id``, ``n_links`` and ``keep`` (the ``row`` of its class that stays)."""
     bounded_batches(docs.sparkSession)
     levels = shingle_levels(docs, text_col, words)
-    rows = durable(shingled(docs, id_col, text_col, words, percent, levels))
-    sets = durable(rows.where("set is not null").groupBy("set", "n").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
+    rows = durable(shingled(docs, id_col, row.cast("long"), text_col, words, percent, levels))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    sets = durable(rows.where("set is not null").groupBy("set", "n").agg(F.count("*").alias("copies"), best, F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
     clusters = durable(candidates(sets, percent))
     found = durable(links(docs, text_col, words, percent, levels, sets, clusters))
     comp = durable(components(found.where("kind = 0")))
     degree = found.where("kind = 1").groupBy(F.col("a").alias("set")).agg(F.sum("b").alias("degree"))
-    named = sets.join(comp.withColumnRenamed("node", "set"), "set", "left").select("set", "copies", "least", F.coalesce("component", "set").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    answer = durable(named.join(smallest, "component").join(degree, "set", "left").select("set", "component_id", (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links")))
-    for x in (clusters, found, comp):
+    named = sets.join(comp.withColumnRenamed("node", "set"), "set", "left").select("set", "copies", "best", F.coalesce("component", "set").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("best").alias("best"))
+    answer = durable(named.drop("best").join(smallest, "component").join(degree, "set", "left").select("set", F.col("best.id").alias("component_id"), F.col("best.row").alias("keep"), (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links")))
+    for x in (clusters, found, comp, sets):
         release(x)
-    some = rows.where("set is not null").select("id", "n", "set").join(answer, "set").select("id", "n", "component_id", "n_links")
-    none = rows.where("set is null").select("id", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return some.unionByName(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
+    some = rows.where("set is not null").select("id", "row", "n", "set").join(answer, "set").select("id", "row", "n", "component_id", "n_links", "keep")
+    none = rows.where("set is null").select("id", "row", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.col("row").alias("keep"))
+    return some.unionByName(none)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; all columns.
+    """``docs`` with one row of each component, the one with the smallest id (null ids last); all columns.
 
-    Documents without words are components of their own and stay. Rows that share the smallest id all stay.
+    Rows are numbered as they are written first, and judged by that number: rows that share an id
+    stay or go each by its own text. Of rows of a component that share the smallest id the first written
+    stays. Texts without words are components of their own and stay.
     """
-    gone = jaccard_join(docs, id_col, text_col, words, percent).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    x = durable(docs.toDF(*own.values()).withColumn("row", F.monotonically_increasing_id()))
+    gone = _classes(x, own[id_col], F.col("row"), own[text_col], words, percent).where("row != keep").select("row")
+    return x.join(gone, "row", "left_anti").select(*own.values()).toDF(*docs.columns)
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
