@@ -44,8 +44,9 @@ ORDER, MIN_COUNT = 3, 2
 #: Weight of the shorter history, in occurrences.
 BACKOFF = 1.0
 ALPHA = 0.1
-#: Parts of the filter; hash functions and bits of a key; fewest and most bits of the filter (8 MB, 256 MB).
-PARTS, PROBES, BITS_A_KEY, MIN_BITS, MAX_BITS = 64, 6, 10, 1 << 26, 1 << 31
+#: Parts of the filter; bits of a key in each of the two words that it is in; bits of the filter for a key;
+#: fewest and most bits of the filter (8 MB, 256 MB).
+PARTS, PROBES, BITS_A_KEY, MIN_BITS, MAX_BITS = 64, 4, 12, 1 << 26, 1 << 31
 #: Exact counts of at most so many words are broadcast.
 HEAD_WORDS = 1 << 17
 #: N-grams that a task holds before it counts and hands them on.
@@ -221,21 +222,26 @@ def summary(counts: DataFrame) -> tuple[int, int, int, int, np.ndarray]:
 
 
 def filter_bits(keys: int) -> int:
-    """Bits of each of the PARTS parts."""
-    return int(min(MAX_BITS, max(MIN_BITS, keys * BITS_A_KEY)) // PARTS // 8 * 8)
+    """Bits of each of the PARTS parts: whole 64-bit words."""
+    return int(min(MAX_BITS, max(MIN_BITS, keys * BITS_A_KEY)) // PARTS // 64 * 64)
 
 
-def _filter_slots(key: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """Bit places inside a part of ``size`` bits."""
-    base = mix(key)
-    step = mix(base + _ODD) | np.uint64(1)
+def _probe(h: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of a word inside a part of ``words`` words, and the bits of a key with this hash in it."""
+    mask = np.zeros(len(h), np.uint64)
     for i in range(PROBES):
-        yield ((base + np.uint64(i) * step) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
+        mask |= np.uint64(1) << ((h >> np.uint64(6 * i)) & np.uint64(63))
+    return (h >> np.uint64(32)) * np.uint64(words) >> np.uint64(32), mask
+
+
+def _second(h: np.ndarray) -> np.ndarray:
+    """The hash for the other word."""
+    return mix(h + _ODD)
 
 
 def _nth(key: np.ndarray, j: int, tag: np.uint64 = np.uint64(0)) -> np.ndarray:
-    """The key's ``j``-th key of a sort."""
-    return mix(key ^ tag) + np.uint64(j) * _ODD
+    """Hash of the key's ``j``-th key of a sort."""
+    return mix((key ^ tag) + np.uint64(j) * _ODD)
 
 
 def _word_key(word: np.ndarray) -> np.ndarray:
@@ -259,12 +265,16 @@ def build_filter(counts: DataFrame, size: int) -> np.ndarray:
         sums: dict[int, list] = {}
 
         def put(bits: np.ndarray, key: np.ndarray) -> None:
-            for slot in _filter_slots(key, size):
-                bits[slot.astype(np.int64)] = True
+            for h in (key, _second(key)) if len(key) else ():
+                at, mask = _probe(h, size // 64)
+                order = np.argsort(at)
+                at, mask = at[order].astype(np.int64), mask[order]
+                first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+                bits[at[first]] |= np.bitwise_or.reduceat(mask, first)
 
         for bucket, kind, keys, raw in _rows_of(batches):
             k, c = np.frombuffer(keys, "<u8"), np.frombuffer(raw, "<i8")
-            bits = parts.setdefault(bucket % PARTS, np.zeros(size, bool))
+            bits = parts.setdefault(bucket % PARTS, np.zeros(size // 64, np.uint64))
             if kind == 3:
                 sums.setdefault(bucket, []).append((k, c))
                 continue
@@ -278,12 +288,12 @@ def build_filter(counts: DataFrame, size: int) -> np.ndarray:
                 put(parts[part], _nth(key[length >= j], j, _LENGTH))
                 put(parts[part], _nth(key[(length > j) & (u >> (j - 1) & 1 == 1)], j, _DIGIT))
         for p, bits in parts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["part", "bits"])
 
-    out = np.zeros(PARTS * size // 8, np.uint8)
+    out = np.zeros(PARTS * size // 64, np.uint64)
     rows = counts.withColumn("_part", F.col("bucket") % PARTS).repartition(PARTS, "_part").drop("_part").mapInArrow(run, "part int, bits binary")
     for r in rows.toLocalIterator():
-        out[r.part * size // 8 : (r.part + 1) * size // 8] |= np.frombuffer(bytes(r.bits), np.uint8)
+        out[r.part * size // 64 : (r.part + 1) * size // 64] |= np.frombuffer(bytes(r.bits), np.uint64)
     return out
 
 
@@ -293,27 +303,22 @@ class Model:
     def __init__(self, bits: np.ndarray, size: int, head: tuple[np.ndarray, np.ndarray], tokens: int, kinds: int, units: int, texts: int, buckets: int, order: int) -> None:
         self.bits, self.size, self.head, self.tokens, self.kinds, self.units, self.texts, self.buckets, self.order = bits, size, head, tokens, kinds, units, texts, buckets, order
 
-    def has(self, part: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Membership of each key: all its bits are set."""
-        hit = np.ones(len(key), bool)
-        alive = np.arange(len(key))
-        base = part.astype(np.uint64) * np.uint64(self.size)
-        # Most keys that are missing fail at the first bits; the others aren't looked at any more.
-        for slot in _filter_slots(key, self.size):
-            at = base[alive] + slot[alive]
-            good = (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-            hit[alive[good == 0]] = False
-            alive = alive[good == 1]
-            if not len(alive):
-                break
-        return hit
+    def has(self, part: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Places of the keys with these hashes that are members: all bits are set in both words."""
+        words = self.size // 64
+        base = part * np.uint64(words)
+        at, mask = _probe(h, words)
+        some = np.flatnonzero(self.bits[(base + at).astype(np.int64)] & mask == mask)
+        at, mask = _probe(_second(h[some]), words)
+        return some[self.bits[(base[some] + at).astype(np.int64)] & mask == mask]
 
     def levels(self, part: np.ndarray, key: np.ndarray, tag: np.uint64 = np.uint64(0)) -> np.ndarray:
         """Level of each key: membership probes until one fails."""
         q = np.zeros(len(key), np.int64)
         alive, j = np.arange(len(key)), 1
         while len(alive) and j < LEVELS:
-            alive = alive[self.has(part[alive], _nth(key[alive], j, tag))]
+            good = self.has(part, _nth(key, j, tag))
+            alive, part, key = alive[good], part[good], key[good]
             q[alive] = j
             j += 1
         return q
@@ -336,7 +341,7 @@ class Model:
         out = value(length)
         for j in range(1, int(length.max(initial=0))):
             more = np.flatnonzero(length > j)
-            out[more] += self.has(part[more], _nth(key[more], j, _DIGIT)) * 2.0 ** (j - 1)
+            out[more[self.has(part[more], _nth(key[more], j, _DIGIT))]] += 2.0 ** (j - 1)
         return out[at]
 
     def log_probabilities(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
