@@ -1,15 +1,17 @@
-"""Substring dedup by hashing lines and pieces of lines.
-
-A text is cut into units: at the end of each line, and inside a line after words where a hash of two
-neighbouring words says so (every ``PIECE_WORDS`` words on average). Such cuts depend on nothing
-else, so a passage that is repeated inside other lines has the same units there. Units are
-normalised (lower case, white space as one) and hashed; over all documents the earliest occurrence of a
-digest, by id and then by place, is kept. What is removed are unbroken runs of repeated
-units of at least ``MIN_WORDS`` words, and whole lines of at least ``MIN_LINE_WORDS``; so a short
-piece that occurs elsewhere by chance stays.
-
-A task sends each distinct digest once, so a line that a third of all documents have is one entry
-from each task. What returns to a task are the digests whose earliest occurrence lies in another.
+"""Substring dedup by hashing lines and passages inside lines.
+
+Units are whole lines, and passages: a text is cut into pieces at the end of each line, and inside a line
+after words where a hash of two neighbouring words says so (every ``piece_words`` words on average). Such cuts
+depend on nothing else, so a passage that is repeated inside other lines has the same pieces there.
+A passage unit begins with each piece and ends with the first piece by which it has ``min_words`` words.
+Units are normalised (lower case, white space as one) and hashed as a whole; over all documents the
+earliest occurrence of a digest, by id and then by place, is kept, and all others are removed, their spans
+merged. So each span that is removed consists of lines, and of stretches of ``min_words`` words and more, that
+stand like this in one earlier place.
+
+A run, some hundred thousand units of neighbouring documents, asks for each of its distinct digests once, so a
+line that a third of all documents have is one row from each run. Units go to the task that decides their
+document packed by document; what returns are the digests whose earliest occurrence lies in another run.
 """
 
 from __future__ import annotations
@@ -19,60 +21,41 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import bounded_batches
 from tidemark.llm.words import chunks, hash_runs, locate_words, mix
 from tidemark.storage import durable
 
-PIECE_WORDS = 6
-MIN_WORDS = 20
-MIN_LINE_WORDS = 5
-#: Entries that a task holds before it merges equal digests.
-HOLD = 500_000
+#: Words in a piece on average, fewest words of a passage and of a line.
+PIECE_WORDS, MIN_WORDS, MIN_LINE_WORDS = 6, 20, 1
+#: Units of a run; one more document may go beyond it.
+HOLD = 200_000
 #: Id that null ids count as: they rank last.
 LAST = np.int64(2**63 - 1)
+_LINE = np.uint64(0x4C494E45)
 
-UNIT = np.dtype([("digest", "<u8"), ("start", "<i4"), ("end", "<i4"), ("words", "<i4"), ("line", "<i4")])
+UNIT = np.dtype([("digest", "<u8"), ("start", "<i4"), ("end", "<i4")])
 ENTRY = np.dtype([("digest", "<u8"), ("id", "<i8"), ("doc", "<i4"), ("unit", "<i4")])
-ANSWER = np.dtype([("digest", "<u8"), ("id", "<i8")])
-PLACE = np.dtype([("doc", "<i4"), ("unit", "<i4")])
-
-
-def pack(a: np.ndarray, dtype: np.dtype) -> bytes:
-    """Field by field, which compresses better than row by row."""
-    return b"".join(np.ascontiguousarray(a[f]).tobytes() for f in dtype.names)
-
-
-def unpack(raw: bytes, dtype: np.dtype) -> np.ndarray:
-    n, at = len(raw) // dtype.itemsize, 0
-    out = np.empty(n, dtype)
-    for f in dtype.names:
-        size = n * dtype[f].itemsize
-        out[f] = np.frombuffer(raw[at : at + size], dtype[f])
-        at += size
-    return out
 
 
 def pack_units(u: np.ndarray) -> bytes:
-    """Places as differences: small numbers."""
-    v = u.copy()
-    v["end"] -= u["start"]
-    v["start"][1:] = np.diff(u["start"])
-    v["line"][1:] = np.diff(u["line"])
-    return pack(v, UNIT)
+    """Field by field, starts as differences and ends as lengths: that compresses."""
+    return b"".join((u["digest"].tobytes(), np.diff(u["start"], prepend=np.int32(0)).astype("<i4").tobytes(), (u["end"] - u["start"]).tobytes()))
 
 
 def unpack_units(raw: bytes) -> np.ndarray:
-    u = unpack(raw, UNIT)
-    u["start"], u["line"] = np.cumsum(u["start"]), np.cumsum(u["line"])
-    u["end"] += u["start"]
+    n = len(raw) // UNIT.itemsize
+    u = np.empty(n, UNIT)
+    u["digest"] = np.frombuffer(raw[: 8 * n], "<u8")
+    u["start"] = np.cumsum(np.frombuffer(raw[8 * n : 12 * n], "<i4"))
+    u["end"] = u["start"] + np.frombuffer(raw[12 * n :], "<i4")
     return u
 
 
-def units_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(units, bounds)``: units of row i are ``units[bounds[i]:bounds[i + 1]]``; places in code points."""
+def units_of(text: pa.Array, piece_words: int = PIECE_WORDS, min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """``(units, bounds)``: units of row i are ``units[bounds[i]:bounds[i + 1]]`` by start; places in code points."""
     h, bounds, starts, ends, raw, offsets = locate_words(text)
     if not len(h):
         return np.empty(0, UNIT), np.zeros(len(text) + 1, np.int64)
@@ -81,35 +64,42 @@ def units_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     row_first[bounds] = True
     line_first = row_first[:-1].copy()
     line_first[1:] |= line_of[1:] != line_of[:-1]
-    previous = np.concatenate(([np.uint64(0)], h[:-1]))
-    cut_after = mix(mix(previous) ^ h) % np.uint64(PIECE_WORDS) == 0
+    previous = np.where(row_first[:-1], np.uint64(0), np.concatenate(([np.uint64(0)], h[:-1])))
+    cut_after = mix(mix(previous) ^ h) % np.uint64(piece_words) == 0
     first = line_first.copy()
-    first[1:] |= cut_after[:-1] & ~line_first[:-1]
+    first[1:] |= cut_after[:-1]
     a = np.flatnonzero(first)
     b = np.concatenate((a[1:], [len(h)]))
-    point = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    # A passage ends with the first piece by which it is long enough, if its text has one.
+    last = np.searchsorted(b, a + min_words)
     row = np.searchsorted(bounds, a, "right") - 1
-    out = np.empty(len(a), UNIT)
-    out["digest"] = hash_runs(h, a, b)
-    out["start"], out["end"] = point[starts[a]] - point[offsets[row]], point[ends[b - 1]] - point[offsets[row]]
-    out["words"], out["line"] = b - a, line_of[a]
-    return out, np.searchsorted(a, bounds)
-
-
-def removed_runs(units: np.ndarray, repeated: np.ndarray) -> list[tuple[int, int]]:
-    """Spans of one document that are removed."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], repeated.astype(np.int8), [0]))))
-    out = []
-    for a, b in zip(edge[::2], edge[1::2], strict=True):
-        if units["words"][a:b].sum() >= MIN_WORDS:
-            out.append((int(units["start"][a]), int(units["end"][b - 1])))
-            continue
-        lines = units["line"][a:b]
-        for line in np.unique(lines):
-            own = a + np.flatnonzero(lines == line)
-            if len(own) == (units["line"] == line).sum() and units["words"][own].sum() >= MIN_LINE_WORDS:
-                out.append((int(units["start"][own[0]]), int(units["end"][own[-1]])))
-    return out
+    fits = (last < len(b)) & (b[np.minimum(last, len(b) - 1)] <= bounds[row + 1])
+    la = np.flatnonzero(line_first)
+    lb = np.concatenate((la[1:], [len(h)]))
+    long = lb - la >= min_line_words
+    la, lb = la[long], lb[long]
+    begin, end = np.concatenate((a[fits], la)), np.concatenate((b[last[fits]], lb))
+    digest = np.concatenate((hash_runs(h, a[fits], b[last[fits]]), mix(hash_runs(h, la, lb) ^ _LINE)))
+    order = np.argsort(begin, kind="stable")
+    begin, end, digest = begin[order], end[order], digest[order]
+    point = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    row = np.searchsorted(bounds, begin, "right") - 1
+    out = np.empty(len(begin), UNIT)
+    out["digest"] = digest
+    # White space up to the next word of the line goes with the unit.
+    follows = np.concatenate((~line_first[1:], [False]))
+    until = np.where(follows, np.concatenate((starts[1:], starts[-1:])), ends)
+    out["start"], out["end"] = point[starts[begin]] - point[offsets[row]], point[until[end - 1]] - point[offsets[row]]
+    return out, np.searchsorted(begin, bounds)
+
+
+def merged(units: np.ndarray) -> list[tuple[int, int]]:
+    """Spans of these units (by start); those that overlap or touch are one."""
+    if not len(units):
+        return []
+    far = np.maximum.accumulate(units["end"])
+    at = np.flatnonzero(np.concatenate(([True], units["start"][1:] > far[:-1])))
+    return list(zip(units["start"][at].tolist(), far[np.concatenate((at[1:], [len(far)])) - 1].tolist(), strict=True))
 
 
 def _distinct(entries: np.ndarray) -> np.ndarray:
@@ -118,7 +108,27 @@ def _distinct(entries: np.ndarray) -> np.ndarray:
     return e[np.concatenate(([True], e["digest"][1:] != e["digest"][:-1]))] if len(e) else e
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _entries(parts: list[np.ndarray], ranks: list[int]) -> np.ndarray:
+    """Entries of a run from the units and the rank of each of its documents."""
+    size = [len(u) for u in parts]
+    e = np.empty(sum(size), ENTRY)
+    e["digest"] = np.concatenate([u["digest"] for u in parts]) if parts else []
+    e["id"], e["doc"] = np.repeat(np.array(ranks, np.int64), size), np.repeat(np.arange(len(size)), size)
+    e["unit"] = np.arange(len(e)) - np.repeat(np.cumsum([0, *size[:-1]]) if size else [], size).astype(np.int64)
+    return e
+
+
+SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def repeated_spans(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    piece_words: int = PIECE_WORDS,
+    min_words: int = MIN_WORDS,
+    min_line_words: int = MIN_LINE_WORDS,
+) -> DataFrame:
     """One row for each input row: ``id_col``, ``n_units``, ``spans`` (removed ``start``, ``end`` in code
     points of the original text, in order), ``sources`` (ids of documents whose occurrence is kept).
 
@@ -126,124 +136,140 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     input. Null and empty texts have no units. The first of equal documents keeps everything that
     no earlier one has. An empty table gives an empty result; other columns are ignored.
     """
+    out = _spans(docs, id_col, F.lit(None), text_col, piece_words, min_words, min_line_words)
+    return out.select(F.col("id").alias(id_col), "n_units", "spans", "sources")
+
+
+def _spans(docs: DataFrame, id_col: str, row: Column, text_col: str, piece_words: int, min_words: int, min_line_words: int) -> DataFrame:
+    """``id``, ``row``, ``n_units``, ``spans`` and ``sources`` of each row."""
     bounded_batches(docs.sparkSession)
-    n_buckets = max(16, docs.select(text_col).rdd.getNumPartitions())
+    rank_of = lambda ids: ids.fill_null(int(LAST)).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 0: a document and its units; kind 1: what the task asks of a bucket."""
-        run, doc, held, kept = TaskContext.get().partitionId(), 0, [], np.empty(0, ENTRY)
+        """Kind 0: a document of a run and its units; kind 1: a digest that the run asks for."""
+        run, parts, ranks, held = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def asks() -> Iterator[pa.RecordBatch]:
+            e = _distinct(_entries(parts, ranks))
+            for k in range(0, len(e), 50_000):
+                yield _rows(run, 1, e[k : k + 50_000])
+
         for b in batches:
             for x, y in chunks(b.column("text")):
                 part = b.slice(x, y - x)
-                units, bounds = units_of(part.column("text"))
-                ids = part.column("id")
-                rank = ids.fill_null(int(LAST)).to_numpy(zero_copy_only=False).astype(np.int64)
-                row = np.repeat(np.arange(y - x), np.diff(bounds))
-                e = np.empty(len(units), ENTRY)
-                e["digest"], e["id"], e["doc"], e["unit"] = units["digest"], rank[row], doc + row, np.arange(len(units)) - bounds[row]
-                held.append(e)
-                if sum(map(len, held)) > HOLD:
-                    kept, held = _distinct(np.concatenate((kept, *held))), []
-                yield _rows(run, 0, ids, [doc + k for k in range(y - x)], [pack_units(units[p:q]) for p, q in zip(bounds[:-1], bounds[1:], strict=True)], [b""] * (y - x))
-                doc += y - x
-        kept = _distinct(np.concatenate((kept, *held)))
-        bucket = (kept["digest"] % np.uint64(n_buckets)).astype(np.int64)
-        for k in range(n_buckets):
-            own = kept[bucket == k]
-            if len(own):
-                yield _rows(run, 1, pa.array([None], ids.type), [k], [pack(own, ANSWER)], [pack(own, PLACE)])
+                units, bounds = units_of(part.column("text"), piece_words, min_words, min_line_words)
+                own = [units[p:q] for p, q in zip(bounds[:-1], bounds[1:], strict=True)]
+                n, k = y - x, len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([run] * n, pa.int64()), pa.array([0] * n, pa.int32()), part.column("id"), part.column("row"), pa.array(range(k, k + n), pa.int32()), pa.array(map(pack_units, own), pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], NAMES)
+                parts += own
+                ranks += rank_of(part.column("id")).tolist()
+                held += len(units)
+                if held > HOLD:
+                    yield from asks()
+                    run, parts, ranks, held = run + 1, [], [], 0
+        yield from asks()
 
     kind = dict(docs.dtypes)[id_col]
-    schema = f"run int, kind int, id {kind}, place int, data binary, more binary"
-    seen = durable(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(cut, schema))
+    types = f"run long, kind int, id {kind}, row long, place int, data binary, digest long, rank long"
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each run the digests of this bucket whose earliest occurrence is in another run."""
-        asked: dict[int, list] = {}
-        for b in batches:
-            for run, place, data in zip(*(b.column(c).to_pylist() for c in ("run", "place", "data")), strict=True):
-                asked.setdefault(place, []).append((run, unpack(data, ANSWER)))
-        for place in sorted(asked):
-            parts = asked.pop(place)
-            e = np.concatenate([x for _, x in parts])
-            run = np.repeat([r for r, _ in parts], [len(x) for _, x in parts])
-            order = np.lexsort((run, e["id"], e["digest"]))
-            e, run = e[order], run[order]
-            first = np.concatenate(([True], e["digest"][1:] != e["digest"][:-1]))
-            keeper = e["id"][np.flatnonzero(first)[np.cumsum(first) - 1]]
-            a = np.empty(len(e), ANSWER)
-            a["digest"], a["id"] = e["digest"], keeper
-            for r in np.unique(run[~first]):
-                yield pa.RecordBatch.from_arrays([pa.array([int(r)], pa.int32()), pa.array([-1], pa.int32()), pa.array([place], pa.int32()), pa.array([pack(a[~first & (run == r)], ANSWER)], pa.binary())], ["run", "kind", "place", "data"])
-
-    asked = seen.where("kind = 1").select("run", "place", "data").repartition(n_buckets, "place")
-    answers = asked.mapInArrow(decide, "run int, kind int, place int, data binary")
+    def _rows(run: int, what: int, e: np.ndarray) -> pa.RecordBatch:
+        n = len(e)
+        return pa.RecordBatch.from_arrays([pa.array([run] * n, pa.int64()), pa.array([what] * n, pa.int32()), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(e["digest"].view(np.int64)), pa.array(e["id"])], NAMES)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
+    source = docs.select(F.col(id_col).alias("id"), row.cast("long").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    seen = durable(source.mapInArrow(cut, types))
+
+    # A digest has a row for each run at most; the earliest run keeps it, the others are told.
+    same = Window.partitionBy("digest")
+    asked = seen.where("kind = 1").select("run", "digest", "rank")
+    first = asked.withColumn("first", F.min(F.struct("rank", "run")).over(same)).where("run != first.run")
+    answers = first.select("run", F.lit(-1).alias("kind"), F.lit(None).cast(kind).alias("id"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("binary").alias("data"), "digest", F.col("first.rank").alias("rank"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known, ids, own, local = None, None, None, {}, []
+        """Rows of a run: answers, then documents in their order."""
+        now, away, docs_ = None, [], []
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for k, (run, kind_, place, data, more) in enumerate(zip(*(b.column(c).to_pylist() for c in ("run", "kind", "place", "data", "more")), strict=True)):
-                if run != now:
-                    now, local, known, own = run, [], None, {}
-                if kind_ == -1:
-                    local.append(unpack(data, ANSWER))
+            runs, kinds = b.column("run").to_numpy(), b.column("kind").to_numpy()
+            cuts = np.flatnonzero((runs[1:] != runs[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for p, q in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if p == q:
                     continue
-                if kind_ == 1:  # the earliest occurrences inside the run
-                    e = np.empty(len(data) // ANSWER.itemsize, ENTRY)
-                    for dtype, raw in ((ANSWER, data), (PLACE, more)):
-                        part = unpack(raw, dtype)
-                        for f in dtype.names:
-                            e[f] = part[f]
-                    own.setdefault("e", []).append(e)
-                    continue
-                if known is None:
-                    a = np.concatenate(local) if local else np.empty(0, ANSWER)
-                    a = a[np.argsort(a["digest"])]
-                    known, ids = a["digest"], a["id"]
-                    e = np.concatenate(own["e"]) if own else np.empty(0, ENTRY)
-                    e = e[np.argsort(e["digest"])]
-                    local = []
-                u = unpack_units(data)
-                away = np.minimum(np.searchsorted(known, u["digest"]), max(0, len(known) - 1))
-                other = known[away] == u["digest"] if len(known) else np.zeros(len(u), bool)
-                here = np.searchsorted(e["digest"], u["digest"])
-                mine = (e["doc"][here] == place) & (e["unit"][here] == np.arange(len(u))) if len(u) else np.zeros(0, bool)
-                repeated = other | ~mine
-                spans = removed_runs(u, repeated)
-                origin = np.where(other, ids[away] if len(ids) else 0, e["id"][here] if len(u) else 0) if len(u) else np.empty(0, np.int64)
-                inside = np.zeros(len(u), bool)
-                for s, t in spans:
-                    inside |= (u["start"] >= s) & (u["end"] <= t)
-                out[0].append(k)
-                out[1].append(len(u))
-                out[2].append([{"start": s, "end": t} for s, t in spans])
-                out[3].append([int(x) for x in np.unique(origin[inside & repeated]) if x != LAST])
-            if out[0]:
-                span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(out[0])), pa.array(out[1], pa.int64()), pa.array(out[2], span), pa.array(out[3], pa.list_(pa.int64()))], ["id", "n_units", "spans", "sources"])
-
-    both = seen.unionByName(answers.withColumns({"id": F.lit(None).cast(kind), "more": F.lit(None).cast("binary")})).withColumn("_o", F.when(F.col("kind") == 0, 2).otherwise(F.col("kind")))
-    rows = both.repartition("run").sortWithinPartitions("run", "_o", "place").select("run", "kind", "id", "place", "data", "more")
-    return rows.mapInArrow(finish, f"id {kind}, n_units long, spans array<struct<start:int,end:int>>, sources array<long>").withColumnRenamed("id", id_col)
-
-
-def _rows(run: int, kind: int, ids: pa.Array, place: list[int], data: list[bytes], more: list[bytes]) -> pa.RecordBatch:
-    n = len(data)
-    return pa.RecordBatch.from_arrays([pa.array([run] * n, pa.int32()), pa.array([kind] * n, pa.int32()), ids, pa.array(place, pa.int32()), pa.array(data, pa.binary()), pa.array(more, pa.binary())], ["run", "kind", "id", "place", "data", "more"])
-
-
-def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans cut out of their texts. Ids have to be unique; a row without spans stays as it is."""
-    cut = spans.where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), F.col("spans").alias("_spans"))
-    t, s = F.col(text_col), F.col("_spans")
+                if runs[p] != now:
+                    yield from decided(away, docs_)
+                    now, away, docs_ = runs[p], [], []
+                part = b.slice(p, q - p)
+                if kinds[p] == -1:
+                    away.append((part.column("digest").to_numpy().view(np.uint64), part.column("rank").to_numpy()))
+                else:
+                    docs_.append(part.select(["id", "row", "data"]))
+        yield from decided(away, docs_)
+
+    def decided(away: list, docs_: list) -> Iterator[pa.RecordBatch]:
+        if not docs_:
+            return
+        parts = [unpack_units(x) for b in docs_ for x in b.column("data").to_pylist()]
+        e = _entries(parts, np.concatenate([rank_of(b.column("id")) for b in docs_]).tolist())
+        d = _distinct(e)
+        here = np.searchsorted(d["digest"], e["digest"])
+        mine = (d["doc"][here] == e["doc"]) & (d["unit"][here] == e["unit"])
+        keeper, other = d["id"][here], np.zeros(len(e), bool)
+        if away and len(e):
+            known, ids = (np.concatenate(x) for x in zip(*away, strict=True))
+            order = np.argsort(known)
+            known, ids = known[order], ids[order]
+            at = np.minimum(np.searchsorted(known, e["digest"]), len(known) - 1)
+            other = known[at] == e["digest"]
+            keeper = np.where(other, ids[at], keeper)
+        repeated = other | ~mine
+        at, spans, sources = 0, [], []
+        for u in parts:
+            r = repeated[at : at + len(u)]
+            spans.append([{"start": s, "end": t} for s, t in merged(u[r])])
+            sources.append([int(x) for x in np.unique(keeper[at : at + len(u)][r]) if x != LAST])
+            at += len(u)
+        k = 0
+        for b in docs_:
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array([len(u) for u in parts[k : k + n]], pa.int64()), pa.array(spans[k : k + n], SPAN), pa.array(sources[k : k + n], pa.list_(pa.int64()))], ["id", "row", "n_units", "spans", "sources"])
+            k += n
+
+    both = seen.where("kind = 0").unionByName(answers)
+    rows = both.repartition("run").sortWithinPartitions("run", "kind", "place").select("run", "kind", "id", "row", "data", "digest", "rank")
+    return rows.mapInArrow(finish, f"id {kind}, row long, n_units long, spans array<struct<start:int,end:int>>, sources array<long>")
+
+
+NAMES = ["run", "kind", "id", "row", "place", "data", "digest", "rank"]
+
+
+def remove_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    piece_words: int = PIECE_WORDS,
+    min_words: int = MIN_WORDS,
+    min_line_words: int = MIN_LINE_WORDS,
+) -> DataFrame:
+    """``docs`` with the spans of ``repeated_spans`` cut out of their texts; all rows and columns.
+
+    Rows are numbered as they are written first and cut by that number: ids may be null or shared.
+    A null text stays null.
+    """
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    x = durable(docs.toDF(*own.values()).withColumn("row", F.monotonically_increasing_id()))
+    spans = _spans(x, own[id_col], F.col("row"), own[text_col], piece_words, min_words, min_line_words)
+    t, s = F.col(own[text_col]), F.col("spans")
     # What stays are the gaps: from the end of one span to the start of the next.
     gaps = F.transform(F.sequence(F.lit(0), F.size(s)), lambda i: F.substring(t, F.when(i == 0, 1).otherwise(F.get(s, i - 1)["end"] + 1), F.when(i == F.size(s), F.length(t)).otherwise(F.get(s, i)["start"]) - F.when(i == 0, 0).otherwise(F.get(s, i - 1)["end"])))
-    joined = docs.join(cut, docs[id_col] == F.col("_id"), "left")
-    return joined.withColumn(text_col, F.when(s.isNull(), t).otherwise(F.array_join(gaps, ""))).drop("_id", "_spans")
+    joined = x.join(spans.where(F.size("spans") > 0).select("row", "spans"), "row", "left")
+    cut = F.when(s.isNull() | t.isNull(), t).otherwise(F.array_join(gaps, ""))
+    return joined.select(*(cut.alias(a) if c == text_col else F.col(a) for c, a in own.items())).toDF(*docs.columns)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    out = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Production: lines of 5 words and more, passages of 20 and more."""
+    out = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_line_words=5)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))
     return out.select("doc_id", "n_units", F.size("spans").cast("long").alias("n_spans"), removed.alias("removed_chars"), F.array_join(F.transform("spans", lambda x: F.concat(x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",").alias("spans"), "sources")
