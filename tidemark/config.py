@@ -10,7 +10,11 @@ FSYNC_POLICIES = ("EVERY_WRITE", "BATCH", "NONE")
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """Immutable settings. ``wal_dir`` follows ``data_dir`` unless it is given."""
+    """Immutable settings. ``wal_dir`` follows ``data_dir`` unless it is given.
+
+    ``fsync_policy`` says when a put is durable: at once (EVERY_WRITE), with every ``batch_fsync_size``-th
+    put (BATCH), or not before ``sync``, ``flush`` or ``close`` (NONE).
+    """
 
     data_dir: str = "data"
     wal_dir: str | None = None
@@ -38,10 +42,6 @@ class EngineConfig:
         if self.compaction_size_ratio < 1:
             raise ValueError("compaction_size_ratio must be 1 at least")
 
-    @property
-    def wal_path(self) -> str:
-        return os.path.join(self.wal_dir, "wal.log")
-
     @property
     def segments_dir(self) -> str:
         return os.path.join(self.data_dir, "segments")

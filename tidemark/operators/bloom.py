@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits in a chunk, as the bitmap functions have them.
@@ -47,3 +47,17 @@ def might_contain(bloom: DataFrame, probes: DataFrame, expected: int, fpp: float
     byte = F.conv(F.hex(F.substring("bitmap", (F.floor(F.col("at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1, F.lit(False))
     return asked.join(bloom, "chunk", "left").groupBy("series_id").agg(F.bool_and(hit).alias("might_contain"))
+
+
+def save_bloom(bloom: DataFrame, path: str, expected: int, fpp: float = 0.01) -> None:
+    """Write a filter with what it was sized for."""
+    bloom.select("chunk", "bitmap", F.lit(expected).cast("long").alias("expected"), F.lit(float(fpp)).alias("fpp")).write.parquet(path)
+
+
+def load_bloom(spark: SparkSession, path: str) -> tuple[DataFrame, int, float]:
+    """The filter, ``expected`` and ``fpp``, as ``might_contain`` takes them. ValueError if there is no filter."""
+    rows = spark.read.schema("chunk long, bitmap binary, expected long, fpp double").parquet(path)
+    size = rows.select("expected", "fpp").first()
+    if size is None:
+        raise ValueError(f"no filter at {path}")
+    return rows.select("chunk", "bitmap"), size.expected, size.fpp

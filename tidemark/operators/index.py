@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.sizing import entry_bytes
@@ -63,3 +63,13 @@ def index_floor(index: DataFrame, probes: DataFrame) -> DataFrame:
 def index_end(index: DataFrame, probes: DataFrame) -> DataFrame:
     """For each probe key the offset of the smallest index key above it, else -1."""
     return _lookup(index, probes, [F.col("series_id").desc(), F.col("timestamp").desc(), F.col("probe").desc()], F.min, -1)
+
+
+def save_index(index: DataFrame, path: str) -> None:
+    """Write an index in key order."""
+    index.select("i", *KEY, "off").repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.parquet(path)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    """A saved index, for lookups without the points it was made from."""
+    return spark.read.schema("i long, series_id string, timestamp long, off long").parquet(path)

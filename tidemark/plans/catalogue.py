@@ -7,15 +7,19 @@ the hour since 1970, ``gen`` a number for every 2,500 events.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.config import EngineConfig
+from tidemark.engine import Engine
 from tidemark.functions import entry_bytes, timestamp_micros, write_checksum
 from tidemark.operators import bloom, index, reads, sizes
 from tidemark.plans import compaction
 from tidemark.sources import segments, wal
-from tidemark.storage import shared_dir
+from tidemark.storage import durable, shared_dir
+from tidemark.streaming import ingest
 
 HOUR = 3_600_000_000
 PROBES = [("click", 473000), ("click", 473400), ("error", 999999), ("aaa", 1), ("zzz", 1), ("view", 473360)]
@@ -48,7 +52,7 @@ def _probes(spark):
 
 def _log(spark, d):
     """The log with every 997th checksum damaged."""
-    log = wal.with_checksum(writes(spark, d))
+    log = durable(wal.with_checksum(writes(spark, d)))
     return log.withColumn("checksum", F.when(F.col("seq") % 997 == 996, F.col("checksum").bitwiseXOR(F.lit(1))).otherwise(F.col("checksum")))
 
 
@@ -64,12 +68,88 @@ def _compaction(spark, d):
     return compaction.merge(_levels(spark, d).where(F.col("gen").isin(keep) if keep else F.lit(False)))
 
 
+BATCHES = 4
+
+
+def _batches(spark, d):
+    """The writes in four batches of arrival."""
+    w = writes(spark, d)
+    n = w.count()
+    return [w.where(F.floor(F.col("seq") * BATCHES / n) == k).drop("gen") for k in range(BATCHES)]
+
+
+def _engine(spark, **settings):
+    return Engine(spark, EngineConfig(data_dir=f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}", compaction_min_tables=2, compaction_size_ratio=1e9, **settings))
+
+
 def _flushed_manifest(spark, d):
-    """Segments as written and opened again, one folder for each generation: entry counts from the files."""
-    root = f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}"
-    _levels(spark, d).repartitionByRange("gen", *reads.KEY).sortWithinPartitions(*reads.KEY).write.partitionBy("gen").option("parquet.page.row.count.limit", 128).parquet(root)
-    points = spark.read.schema("series_id string, timestamp bigint, value double, gen bigint").parquet(root)
-    return segments.metadata(points, "gen").drop("data_bytes")
+    """Segments as written and opened again: entry counts from the files."""
+    engine = _engine(spark)
+    out = []
+    for k, batch in enumerate(_batches(spark, d)):
+        path = f"{engine.config.segments_dir}/{k}"
+        segments.write_segment(reads.latest(batch), path)
+        out.append(segments.metadata(segments.open_segment(spark, path)).select(F.lit(k).cast("bigint").alias("gen"), "min_timestamp", "max_timestamp", "entry_count"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _flush_get(spark, d):
+    """Two flushed segments, two logged batches, one get."""
+    engine = _engine(spark)
+    for k, batch in enumerate(_batches(spark, d)):
+        engine.put(batch)
+        if k < 2:
+            engine.flush()
+    return engine.get("click", 473400)
+
+
+def _compact_scan(spark, d):
+    engine = _engine(spark)
+    for batch in _batches(spark, d):
+        engine.put(batch)
+        engine.flush()
+    engine.compact_async().result()
+    return engine.scan("view", 473400, 473500)
+
+
+def _recover(spark, d):
+    """Another engine on the folder: a segment, a logged batch, two puts made durable by closing."""
+    engine = _engine(spark, fsync_policy="BATCH", batch_fsync_size=2)
+    b = _batches(spark, d)
+    engine.put(b[0])
+    engine.flush()
+    for x in b[1:]:
+        engine.put(x)
+    engine.close()
+    return Engine(spark, engine.config).recover()
+
+
+def _ingested(spark, d):
+    """A put, a flush, a put, then a stream in two batches and one that comes a second time."""
+    engine = _engine(spark)
+    b = _batches(spark, d)
+    engine.put(b[0])
+    engine.flush()
+    engine.put(b[1])
+    source, check = f"{engine.config.data_dir}/in", f"{engine.config.data_dir}/check"
+    for x in b[2:]:
+        x.select("series_id", "timestamp", "value", "seq").coalesce(1).write.mode("append").parquet(source)
+        ingest(spark.readStream.schema("series_id string, timestamp long, value double, seq long").parquet(source), engine, check).awaitTermination()
+    engine.log_batch(b[0].select("series_id", "timestamp", "value", "seq"), engine.log.committed()[-1].source)
+    return engine.snapshot()
+
+
+def _saved_floor(spark, d):
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.save_index(index.sparse_index(_latest(spark, d), 128), path)
+    return index.index_floor(index.load_index(spark, path), _probes(spark))
+
+
+def _saved_bloom(spark, d):
+    path, ids = f"{shared_dir(spark)}/bloom-{uuid.uuid4().hex}", writes(spark, d, "user_id")
+    bloom.save_bloom(bloom.build_bloom(ids, 10_000), path, 10_000)
+    made, expected, fpp = bloom.load_bloom(spark, path)
+    return bloom.might_contain(made, ids, expected, fpp)
 
 
 def queries() -> dict:
@@ -97,6 +177,12 @@ def queries() -> dict:
         "index_end": lambda s, d: index.index_end(index.sparse_index(_latest(s, d), 128), _probes(s)),
         "bloom_no_false_negatives": lambda s, d: bloom.might_contain(bloom.build_bloom(writes(s, d, "user_id"), 10_000), writes(s, d, "user_id"), 10_000),
         "manifest_from_flush": _flushed_manifest,
+        "engine_flush_get": _flush_get,
+        "engine_compact_scan": _compact_scan,
+        "engine_recover": _recover,
+        "engine_ingest": _ingested,
+        "index_saved_floor": _saved_floor,
+        "bloom_saved": _saved_bloom,
         "series_membership": lambda s, d: reads.might_contain_series(writes(s, d), _probe_ids(s)),
     }
 
@@ -150,6 +236,12 @@ def oracle_sql() -> dict[str, str]:
         "index_floor": f"{_P} select p.series_id, p.timestamp, cast(coalesce(max(x.off), 0) as bigint) as off from probes p left join idx x on (x.series_id, x.timestamp) <= (p.series_id, p.timestamp) group by 1, 2",
         "index_end": f"{_P} select p.series_id, p.timestamp, cast(coalesce(min(x.off), -1) as bigint) as off from probes p left join idx x on (x.series_id, x.timestamp) > (p.series_id, p.timestamp) group by 1, 2",
         "bloom_no_false_negatives": "select distinct cast(user_id as varchar) as series_id, true as might_contain from events",
-        "manifest_from_flush": f"{_L} select gen, min(timestamp) as min_timestamp, max(timestamp) as max_timestamp, count(*) as entry_count from lev group by gen",
+        "manifest_from_flush": f"{_W} select (seq * {BATCHES}) // (select count(*) from writes) as gen, min(timestamp) as min_timestamp, max(timestamp) as max_timestamp, count(distinct (series_id, timestamp)) as entry_count from writes group by 1",
+        "engine_flush_get": f"{_S} {point} where series_id = 'click' and timestamp = 473400",
+        "engine_compact_scan": f"{_S} {point} where series_id = 'view' and timestamp between 473400 and 473500",
+        "engine_recover": f"{_S} {point}",
+        "engine_ingest": f"{_S} {point}",
+        "index_saved_floor": f"{_P} select p.series_id, p.timestamp, cast(coalesce(max(x.off), 0) as bigint) as off from probes p left join idx x on (x.series_id, x.timestamp) <= (p.series_id, p.timestamp) group by 1, 2",
+        "bloom_saved": "select distinct cast(user_id as varchar) as series_id, true as might_contain from events",
         "series_membership": f"{_W} select series_id, series_id in (select series_id from writes) as present from (values ('click'), ('view'), ('error'), ('aaa'), ('zzz')) p(series_id)",
     }

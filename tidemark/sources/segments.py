@@ -47,10 +47,15 @@ def open_segment(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
 
     ``extra`` names a bigint column that a merged segment carries besides the point.
     """
+    return open_segments(spark, [path], extra)
+
+
+def open_segments(spark: SparkSession, paths: list[str], extra: str = "") -> DataFrame:
+    """Several segments in one scan."""
     schema = POINT
     if extra:
         schema = T.StructType([*POINT.fields, T.StructField(extra, T.LongType(), False)])
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def metadata(points: DataFrame, *group: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ _written: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, on one machine only, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -34,6 +37,19 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
+def touch(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; false if it is there already."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(at)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; none if there is no such folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder through the Hadoop file system that holds it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

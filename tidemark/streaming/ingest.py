@@ -1,19 +1,19 @@
 """Micro-batch ingest: the single writer of an engine.
 
 No watermark: late writes are upserts and must not be dropped. No keyed state either: the last
-write is found when points are read or merged. ``foreachBatch`` may run a batch twice; a batch
-carries its number as the log generation and replaces that folder, so the log stays the same.
+write is found when points are read or merged. ``foreachBatch`` may run a batch twice. A batch is known
+by the query's id and its number; its log generation is a fresh one, above all puts, flushes and batches
+before it. One that was committed is skipped when it comes again, one that wasn't is written anew.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.schema import WRITE
-from tidemark.sources.wal import check_writes, with_checksum
-
 
 def socket_source(spark: SparkSession, host: str, port: int) -> DataFrame:
     """Lines ``series_id,timestamp,value`` from a TCP socket; lines that don't parse are left out."""
@@ -30,11 +30,13 @@ def ingest(stream: DataFrame, engine, checkpoint: str, **trigger) -> StreamingQu
     its writes; else they are numbered in the order of the batch's partitions.
     """
 
+    ids: list[str] = []
+
     def batch(df: DataFrame, epoch: int) -> None:
+        if not ids:  # Spark writes it before the first batch; a new checkpoint is a new query
+            ids.append(json.loads(df.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"])
         if "seq" not in df.columns:
             df = df.withColumn("seq", F.lit(epoch).cast("bigint") * (1 << 40) + F.monotonically_increasing_id() % (1 << 40))
-        rows = with_checksum(check_writes(df.withColumn("gen", F.lit(epoch).cast("bigint")))).select(*WRITE.fieldNames())
-        rows.write.mode("overwrite").parquet(f"{engine.config.wal_dir}/log_gen={epoch}")
-        engine.flush_if_full()
+        engine.log_batch(df.select("series_id", "timestamp", "value", "seq"), f"{ids[0]}.{epoch}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
