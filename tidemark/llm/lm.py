@@ -50,7 +50,7 @@ PARTS, PROBES, BITS_A_KEY, MIN_BITS, MAX_BITS = 64, 4, 12, 1 << 26, 1 << 31
 #: Exact counts of at most so many words are broadcast.
 HEAD_WORDS = 1 << 17
 #: N-grams that a task holds before it counts and hands them on.
-HOLD = 6_000_000
+HOLD = 3_000_000
 
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000001)
 #: Bits of an n-gram's key that are the last word's; the others are its history's.
