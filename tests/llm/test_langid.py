@@ -51,3 +51,17 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("text", ["", "...", "a", "ñandú", "日本語"])
 def test_trigrams_count_letters(text):
     assert len(L.trigrams(text)) == sum(c.isalpha() for c in text.lower())
+
+
+def test_more_languages_than_a_few_hundred(spark):
+    """Each of 300 languages writes with its own letters."""
+    word = lambda k: chr(0x4E00 + 7 * k) + chr(0x4E01 + 7 * k) + chr(0x4E02 + 7 * k)
+    rows = [(3 * k + j, f"{word(k)} {word(k)}", f"l{k:03d}") for k in range(300) for j in range(2)]
+    out = L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), keep=("lang",)).collect()
+    assert len(out) == 600 and all(r.lang == r.lang_pred for r in out)
+
+
+def test_ties_and_very_long_texts(spark):
+    rows = [(1, "aaa", "x"), (2, "aaa", "w"), (3, "bbb", "x"), (4, "bbb", "w"), (5, "aaa bbb " * 60_000, None)]
+    out = L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), keep=("doc_id",)).collect()
+    assert {r.lang_pred for r in out} == {"w"} and all(0 < r.score <= 1 for r in out)

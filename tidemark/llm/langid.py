@@ -7,8 +7,8 @@ log-likelihood exceeds a penalty (``penalty`` times half the log of the trigram
 each added language, trigrams overlapping).
 
 Trigrams are hashed to ``BUCKETS`` classes, so a language is a vector of fixed length; the broadcast
-model has BUCKETS x languages floats, at most MAX_LANGUAGES of them. It is fitted on a
-bounded sample: about ``sample_docs`` whole documents of each language, by a hash of the id.
+model has 256 KB for each language that the labels name (float32), whatever the size of the input. It is fitted
+on a bounded sample: about ``sample_docs`` whole documents of each language, by a hash of the id.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ from tidemark.llm.words import mix
 BUCKETS = 1 << 16
 #: Labelled documents of each language that are read for the model, about.
 SAMPLE_DOCS = 3000
-#: Languages that are learned, the most frequent first.
-MAX_LANGUAGES = 256
 #: Added to each trigram count.
 ALPHA = 0.05
 #: Weight of the penalty for each language beyond the first.
@@ -70,7 +68,7 @@ def _em(p: np.ndarray, n: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
 def mixture(grams: np.ndarray, p: np.ndarray, penalty: float = PENALTY, steps: int = 30) -> dict[int, float]:
     """Proportion of each selected language (a column of ``p``)."""
     kinds, n = np.unique(grams, return_counts=True)
-    rows, n = p[kinds], n.astype(float)
+    rows, n = p[kinds].astype(float), n.astype(float)
     single = n @ np.log(rows)
     chosen, w, best = [int(single.argmax())], np.ones(1), float(single.max())
     cost = penalty * 0.5 * np.log(n.sum() + 1)
@@ -95,7 +93,7 @@ def fold(id_col: Column, parts: int) -> Column:
 def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages and their trigram probabilities (BUCKETS x languages) from labelled rows."""
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return [], np.empty((BUCKETS, 0))
     share = labelled.sparkSession.createDataFrame([(r.lang, min(1.0, sample_docs / r.n)) for r in sizes], "lang string, share double")
@@ -108,8 +106,9 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
                 sums[lang] = sums.get(lang, 0) + np.bincount(trigrams(text), minlength=BUCKETS)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "counts": pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())})
 
-    # The sample is bounded, so this is too: a row for each language and task.
-    got = picked.select("lang", "text").repartition(8, "lang").mapInArrow(count, "lang string, counts binary").collect()
+    # The sample is bounded, so this is too: a row for each language and task. Rows are dealt in turn, so that no
+    # language lies in one task.
+    got = picked.select("lang", "text").repartition(8).mapInArrow(count, "lang string, counts binary").collect()
     total: dict[str, np.ndarray] = {}
     for r in got:
         total[r.lang] = total.get(r.lang, 0) + np.frombuffer(r.counts, "<i8")
@@ -117,7 +116,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
     if not langs:
         return [], np.empty((BUCKETS, 0))
     c = np.stack([total[k] for k in langs], axis=1) + ALPHA
-    return langs, c / c.sum(axis=0)
+    return langs, (c / c.sum(axis=0)).astype(np.float32)
 
 
 def identify(
