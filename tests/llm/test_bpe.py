@@ -42,3 +42,22 @@ def test_frame(spark):
         assert got[(i, WHOLE.whole.decode(ids, skip_special_tokens=False))] == ids
     assert bpe.encode_decode(df, PATH).count() == 5
     assert bpe.encode_decode(df.limit(0), PATH, digests=True).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abenrth.,'! \n\té́  İ日🙂<|19-", max_size=120))
+def test_default_leaf_is_exact(text):
+    assert WHOLE.encode([text])[0].tolist() == brute(text)
+
+
+def test_default_leaf_on_a_very_long_text():
+    r = random.Random(1)
+    text = " ".join(r.choice(["thing.", "naïve,", "x" * r.randrange(1, 90), "日本", "o'clock", "3.14"]) for _ in range(40_000))
+    assert len(text) > 10 * bpe.LEAF_CHARS and WHOLE.encode([text])[0].tolist() == brute(text)
+
+
+def test_other_vocabularies_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="BPE with a suffix"):
+        bpe.TreeEncoder(public_tokenizers.path("byte_bpe_50k.json"))

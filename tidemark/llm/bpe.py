@@ -46,6 +46,10 @@ WINDOW_CHARS = 48
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \t-\r]|$)")
 
 
+#: Texts that an encoder is tried with when it is made.
+PROBES = ("", "a", "A b", "Word, word. End", "a.b a,b a., .a ,b", "x.\ty,\nz\x0bq\x0cr", "it's don't 3.14 1,000. e.g. ", "über Éa. ñandú, naïve...", "--a.. b,, (c). [d], e!. f?", "日本語. テキスト, 한국어.", "a\u00a0b.\u2003c, d\u0301. 🙂.")
+
+
 class WordTable:
     """Ids of words (runs between white space) under one tokenizer, kept in two generations."""
 
@@ -86,12 +90,17 @@ class WordTable:
 
 
 class TreeEncoder:
-    """Encodes as ``Tokenizer.encode(text, add_special_tokens=False)`` of the file does."""
+    """Encodes as ``Tokenizer.encode(text, add_special_tokens=False)`` of the file does.
+
+    Word tables and windows rely on what not every vocabulary has; ValueError where it hasn't (``_require``), or where
+    PROBES don't come out as from the library.
+    """
 
     def __init__(self, tokenizer_path: str, leaf_chars: int = LEAF_CHARS, window_chars: int = WINDOW_CHARS) -> None:
         from tokenizers import Tokenizer
 
         spec = json.load(open(tokenizer_path, encoding="utf-8"))
+        self._require(spec)
         self.whole = Tokenizer.from_file(tokenizer_path)
         self.whole.no_truncation()
         self.whole.no_padding()
@@ -106,6 +115,22 @@ class TreeEncoder:
             self.n_bytes[i], ends[i] = len(token.removesuffix(suffix)), token.endswith(suffix)
         self.raw_words, self.plain_words = WordTable(self.whole, ends), WordTable(self.plain, ends)
         self.leaf, self.window = leaf_chars, window_chars
+        for text in PROBES:
+            if self.whole.encode(text, add_special_tokens=False).ids != self.encode([text])[0].tolist():
+                raise ValueError(f"the vocabulary doesn't split at white space, full stops and commas as it must: {text!r}")
+
+    @staticmethod
+    def _require(spec: dict) -> None:
+        """ValueError unless tokens mark the ends of words, and none of two bytes and more holds white space.
+
+        (Each byte by itself is a token; the split before the merges drops those of white space.)
+        """
+        space = {chr(256 + i) for i in (9, 10, 11, 12, 13, 32)} | set(" \t\n\r\v\f")
+        suffix = spec["model"].get("end_of_word_suffix")
+        if spec["model"].get("type") != "BPE" or not suffix:
+            raise ValueError("the tokenizer must be a BPE with a suffix at the ends of words")
+        if any(space & set(t) for t in spec["model"]["vocab"] if len(t.removesuffix(suffix)) > 1):
+            raise ValueError("a token of the vocabulary holds white space beside other characters")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
