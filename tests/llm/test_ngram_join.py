@@ -72,6 +72,17 @@ def test_small_blocks(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out.collect()), key=repr) == brute(rows, 3, 90)
 
 
+@pytest.mark.parametrize("rows_", [0, 3, 6])
+def test_long_lists(spark, monkeypatch, rows_):
+    """Lists of more than a few sets are chained, over several tasks."""
+    rows = made(6, 80)
+    monkeypatch.setattr(J, "LIST_ROWS", rows_)
+    monkeypatch.setattr(J, "CLUSTER_SETS", 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = J.jaccard_join(df, words=3, percent=80)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out.collect()), key=repr) == brute(rows, 3, 80)
+
+
 def test_empty(spark):
     assert J.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

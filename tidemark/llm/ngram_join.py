@@ -7,8 +7,9 @@
    ``n - ceil(T n) + 1`` of each. Index lists of these shingles are sorted by size and position
    and cut into blocks; a block pair is skipped when no size and position in it can reach the
    threshold, other pairs are compared by what is left after the shared shingle and by a parity
-   bitmap of the set (its bits that differ are a lower bound of the difference). What passes is
-   joined in a forest, whose components, small and without false negatives, are clusters.
+   bitmap of the set (its bits that differ are a lower bound of the difference). In very long lists
+   neighbours by size pass unseen. What passes is joined in a forest, whose components, without false
+   negatives, are clusters.
 3. ``links``: inside a cluster every pair is verified on whole sets. A set's overlaps with all others
    are derived from those of the most similar set before it: only lists of the shingles that
    the two don't share are read. Large clusters are compared block by block.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,8 @@ LEVEL_SHIFT = 59
 MAX_BITS = 4096
 #: Entries in a block of an index list.
 LIST_BLOCK = 256
-#: A list longer than this isn't held whole: its neighbours by size are linked as candidates.
-LIST_ROWS = 20_000
+#: A list longer than this isn't compared: neighbours by size are linked as candidates, in any number of tasks.
+LIST_ROWS = 1_000
 #: Sets, and shingles, in a block of a cluster.
 CLUSTER_SETS, CLUSTER_SHINGLES = 512, 1_000_000
 #: Bits of the broadcast filter of sets that are in clusters.
@@ -204,11 +206,6 @@ def _forest_of_lists(percent: int):
             raw = t.column("bits").to_pylist()
             words = np.array([len(x) // 8 for x in raw])
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a > LIST_ROWS:
-                    # Too long to compare: neighbours by size, whose sizes are close, are candidates.
-                    near = 100 * n[a : b - 1] >= percent * n[a + 1 : b]
-                    out += [(p, q) for p, q in zip(sets[a : b - 1][near].tolist(), sets[a + 1 : b][near].tolist(), strict=True) if forest.join(p, q)]
-                    continue
                 blocks = [np.arange(k, min(k + LIST_BLOCK, b)) for k in range(a, b, LIST_BLOCK)]
                 for p, x in enumerate(blocks):
                     for y in blocks[p:]:
@@ -230,14 +227,58 @@ def _words(bits: list[bytes], rows: np.ndarray, words: np.ndarray, size: int) ->
     return out
 
 
+def _chain(percent: int):
+    """Task over a stretch of long lists: neighbours whose sizes are close (kind 0), and the stretch's two ends (1, 2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), None
+
+        def rows(kind: int, token, n, a, b) -> pa.RecordBatch:
+            m = len(a)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind), pa.int32()), pa.array(np.full(m, part), pa.int32()), *(pa.array(x, pa.int64()) for x in (token, n, a, b))], ["kind", "part", "token", "n", "a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            token, n, s = (b.column(c).to_numpy() for c in ("token", "n", "set"))
+            if held is None:
+                yield rows(1, token[:1], n[:1], s[:1], s[:1])
+            else:
+                token, n, s = (np.concatenate((x, y)) for x, y in zip(held, (token, n, s), strict=True))
+            near = (token[:-1] == token[1:]) & (100 * n[:-1] >= percent * n[1:])
+            yield rows(0, token[1:][near], n[1:][near], s[:-1][near], s[1:][near])
+            held = token[-1:], n[-1:], s[-1:]
+        if held is not None:
+            yield rows(2, held[0], held[1], held[2], held[2])
+
+    return run
+
+
+def _chained(long: DataFrame, percent: int) -> DataFrame:
+    """Candidate links in long lists. Two sets of a list whose sizes are close have only such between them, so they
+    come into one component; the tasks' ends, two rows for each, are joined by the driver."""
+    order = ("token", "n", "set")
+    found = durable(long.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_chain(percent), "kind int, part int, token long, n long, a long, b long"))
+    ends = found.where("kind > 0").orderBy("part", "kind").collect()
+    seams = [(x.a, y.a) for x, y in zip(ends[1:-1:2], ends[2::2], strict=True) if x.token == y.token and 100 * x.n >= percent * y.n]
+    return found.where("kind = 0").select("a", "b").unionByName(long.sparkSession.createDataFrame(seams, "a long, b long"))
+
+
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
     """``set`` and ``cluster`` of sets that may reach the threshold with another."""
     postings = sets.select("set", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "set", "n", (F.col("n") - F.col("pos")).alias("rest"))
     order = ("token", "n", "set")
-    lists = postings.repartition("token").sortWithinPartitions(*order).mapInArrow(_list_rows(percent), "token long, set long, n long, rest long")
+    # Partial counts, so a long list is a row from each mapper here.
+    hot = durable(postings.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > LIST_ROWS).select("token"))
+    short = postings.join(hot, "token", "left_anti")
+    lists = short.repartition("token").sortWithinPartitions(*order).mapInArrow(_list_rows(percent), "token long, set long, n long, rest long")
     with_bits = lists.join(sets.select("set", "bits"), "set").select("token", "set", "n", "rest", "bits")
     edges = with_bits.repartition("token").sortWithinPartitions(*order).mapInArrow(_forest_of_lists(percent), "a long, b long")
-    return components(edges).toDF("set", "cluster")
+    if not hot.isEmpty():
+        edges = edges.unionByName(_chained(postings.join(hot, "token").select(*order), percent))
+    out = components(edges).toDF("set", "cluster")
+    release(hot)
+    return out
 
 
 def _member_filter(members: DataFrame) -> np.ndarray:
