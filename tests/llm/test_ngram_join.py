@@ -124,5 +124,18 @@ def test_components(spark):
     assert got == {x: forest.root(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_stars():
+    r = np.random.default_rng(3)
+    for n, m in ((1, 0), (5, 3), (200, 150), (300, 3000)):
+        i, j = r.integers(0, n, m), r.integers(0, n, m)
+        forest = graph.Forest()
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            forest.join(a, b)
+        a, b = graph.stars(i, j, n)
+        assert {int(x): int(y) for x, y in zip(a, b, strict=True)} == {x: forest.root(x) for x in range(n) if forest.root(x) != x}
+    k = np.arange(999)
+    assert (graph.stars(k, k + 1, 1000)[1] == 0).all()
+
+
 def test_sql(spark):
     compare(spark, "/root/testdata/sf0.001", J.op9_ngram_join, J.OP9_SQL)

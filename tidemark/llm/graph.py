@@ -8,6 +8,7 @@ sees two numbers a round.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def stars(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links ``(a, b)`` with the components of the links ``(i, j)`` of nodes 0 to n - 1: each node to the smallest of its own.
+
+    Labels sink along all links at once and jump to their labels' labels: no Python loop over links.
+    """
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    a = np.flatnonzero(label != np.arange(n))
+    return a, label[a]
+
+
 class Forest:
     """Union-find over integers inside one task; says which links join two trees."""
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import bounded_batches
-from tidemark.llm.graph import Forest, components
+from tidemark.llm.graph import Forest, components, stars
 from tidemark.llm.runs import whole_runs
 from tidemark.llm.words import mix
 from tidemark.storage import durable, release
@@ -32,7 +32,7 @@ TABLES, PROBES = 4, 4
 #: Side of a cell for unit vectors.
 CELL = 0.5
 #: Vectors in a block of a cell.
-BLOCK = 512
+BLOCK = 1024
 SEED = 8
 
 
@@ -202,6 +202,7 @@ def _linked(cosine: float):
                     kinds.append(1)
                     aa.append(int(node[lo + k]))
                     bb.append(int(degree[k]))
+                i, j = stars(i, j, hi - lo)
                 for a, b in zip(node[lo + i].tolist(), node[lo + j].tolist(), strict=True):
                     if forest.join(a, b):
                         kinds.append(0)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import bounded_batches
-from tidemark.llm.graph import Forest, components
+from tidemark.llm.graph import Forest, components, stars
 from tidemark.llm.runs import whole_runs
 from tidemark.llm.words import chunks, mix, shingle_sets
 from tidemark.storage import durable, release
@@ -346,12 +346,10 @@ def _cluster_links(percent: int):
                     kinds.append(1)
                     aa.append(int(s[k]))
                     bb.append(int(degree[k]))
-                forest = Forest()
-                for p, q in np.argwhere(np.triu(ok)).tolist():
-                    if forest.join(p, q):
-                        kinds.append(0)
-                        aa.append(int(s[p]))
-                        bb.append(int(s[q]))
+                p, q = stars(*np.nonzero(np.triu(ok)), hi - lo)
+                kinds += [0] * len(p)
+                aa += s[p].tolist()
+                bb += s[q].tolist()
             if kinds:
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(aa, pa.int64()), pa.array(bb, pa.int64())], ["kind", "a", "b"])
 
