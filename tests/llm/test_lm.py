@@ -101,7 +101,7 @@ def model_of(spark, texts, order=lm.ORDER, min_count=lm.MIN_COUNT):
     counts = lm.durable(lm.gather(spark.createDataFrame([(t,) for t in texts], "text string"), lm.PARTS, order, min_count))
     n, v, units, keys, by = lm.summary(counts)
     size = lm.filter_bits(keys)
-    return lm.Model(lm.build_filter(counts, size), size, lm.head_words(counts, by), n, v, units, len(texts), lm.PARTS, order)
+    return lm.Model(lm.build_filter(counts, size, lm.PARTS), size, lm.head_words(counts, by), n, v, units, len(texts), lm.PARTS, order)
 
 
 @pytest.mark.parametrize(("order", "min_count"), [(3, 2), (2, 1), (1, 2), (4, 3)])

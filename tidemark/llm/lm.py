@@ -105,7 +105,8 @@ def gram_key(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def gram_bucket(history: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
-    return mix(history * _ODD + word) % np.uint64(buckets)
+    """One of ``buckets``, a power of two."""
+    return mix(history * _ODD + word) & np.uint64(buckets - 1)
 
 
 def _transposed(x: np.ndarray) -> bytes:
@@ -163,7 +164,7 @@ def gather(train: DataFrame, buckets: int, order: int = ORDER, min_count: int =
         for b in batches:
             for x, y in chunks(b.column(0)):
                 t, bounds = tokens_of(b.column(0).slice(x, y - x))
-                word.append((t % np.uint64(buckets), t))
+                word.append((t & np.uint64(buckets - 1), t))
                 held += len(t)
                 for at, h in histories(t, bounds, order):
                     gram.append((gram_bucket(h, t[at], buckets), gram_key(h, t[at])))
@@ -244,12 +245,16 @@ def _nth(key: np.ndarray, j: int, tag: np.uint64 = np.uint64(0)) -> np.ndarray:
     return mix((key ^ tag) + np.uint64(j) * _ODD)
 
 
+# Keys as they are told apart; ``_nth`` mixes them.
+
+
 def _word_key(word: np.ndarray) -> np.ndarray:
-    return mix(word ^ np.uint64(0x1111))
+    return word ^ np.uint64(0x1111 << 40)
 
 
-def _gram_id(key: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    return mix(key ^ mix(bucket ^ np.uint64(0x2222)))
+def _bucket_keys(buckets: int) -> np.ndarray:
+    """What a bucket adds to the keys of its n-grams."""
+    return mix(np.arange(buckets, dtype=np.uint64) ^ np.uint64(0x2222 << 40))
 
 
 def _history_key(history: np.ndarray) -> np.ndarray:
@@ -257,12 +262,13 @@ def _history_key(history: np.ndarray) -> np.ndarray:
     return mix(history ^ np.uint64(0x3333 << 48))
 
 
-def build_filter(counts: DataFrame, size: int) -> np.ndarray:
+def build_filter(counts: DataFrame, size: int, buckets: int) -> np.ndarray:
     """The filter's bits. Each part is made in one task and sent to the driver: PARTS * size bits in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
         sums: dict[int, list] = {}
+        of_bucket = _bucket_keys(buckets)
 
         def put(bits: np.ndarray, key: np.ndarray) -> None:
             for h in (key, _second(key)) if len(key) else ():
@@ -278,7 +284,7 @@ def build_filter(counts: DataFrame, size: int) -> np.ndarray:
             if kind == 3:
                 sums.setdefault(bucket, []).append((k, c))
                 continue
-            key, q = (_word_key(k), level(c)) if kind == 1 else (_gram_id(k, np.uint64(bucket)), c)
+            key, q = (_word_key(k), level(c)) if kind == 1 else (k ^ of_bucket[bucket], c)
             for j in range(1, int(q.max(initial=0)) + 1):
                 put(bits, _nth(key[q >= j], j))
         for part, lists in sums.items():
@@ -302,6 +308,7 @@ class Model:
 
     def __init__(self, bits: np.ndarray, size: int, head: tuple[np.ndarray, np.ndarray], tokens: int, kinds: int, units: int, texts: int, buckets: int, order: int) -> None:
         self.bits, self.size, self.head, self.tokens, self.kinds, self.units, self.texts, self.buckets, self.order = bits, size, head, tokens, kinds, units, texts, buckets, order
+        self.of_bucket = _bucket_keys(buckets)
 
     def has(self, part: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Places of the keys with these hashes that are members: all bits are set in both words."""
@@ -326,17 +333,17 @@ class Model:
     def words(self, word: np.ndarray) -> np.ndarray:
         """u of each word."""
         some, at = np.unique(word, return_inverse=True)
-        return value(self.levels(some % np.uint64(PARTS), _word_key(some)))[at]
+        return value(self.levels(some & np.uint64(PARTS - 1), _word_key(some)))[at]
 
     def grams(self, history: np.ndarray, word: np.ndarray) -> np.ndarray:
         """u of each n-gram."""
         bucket = gram_bucket(history, word, self.buckets)
-        return value(self.levels(bucket % np.uint64(PARTS), _gram_id(gram_key(history, word), bucket)))
+        return value(self.levels(bucket & np.uint64(PARTS - 1), gram_key(history, word) ^ self.of_bucket[bucket.astype(np.int64)]))
 
     def sums(self, history: np.ndarray) -> np.ndarray:
         """U of each history."""
         some, at = np.unique(history >> WORD_BITS, return_inverse=True)
-        part, key = some % np.uint64(PARTS), _history_key(some)
+        part, key = some & np.uint64(PARTS - 1), _history_key(some)
         length = self.levels(part, key, _LENGTH)
         out = value(length)
         for j in range(1, int(length.max(initial=0))):
@@ -408,12 +415,12 @@ def score_text(
     bounded_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     # A bucket holds about what one shuffle partition does.
-    buckets = PARTS * max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTS))
+    buckets = max(PARTS, 1 << (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     trained = docs.where(train_rows).select(text)
     counts = durable(gather(trained, buckets, order, min_count))
     n, v, units, keys, by = summary(counts)
     size = filter_bits(keys)
-    model = Model(build_filter(counts, size), size, head_words(counts, by), n, v, units, trained.count(), buckets, order)
+    model = Model(build_filter(counts, size, buckets), size, head_words(counts, by), n, v, units, trained.count(), buckets, order)
     shared = spark.sparkContext.broadcast(model)
     del model
     kinds = dict(docs.dtypes)
@@ -438,7 +445,7 @@ def score_text(
                 score = np.add.reduceat(m.log_probabilities(t, bounds), bounds[:-1])
                 yield _scan_rows(part, named, run_id, np.diff(bounds), known, base, score)
                 rare_doc, rare = doc[~common], t[~common]
-                dealt, cuts = _split((rare % np.uint64(m.buckets)).astype(np.int64), m.buckets)
+                dealt, cuts = _split(rare & np.uint64(m.buckets - 1), m.buckets)
                 full = np.flatnonzero(np.diff(cuts))
                 if len(full):
                     yield _bucket_rows(part, named, run_id, full, [rare[dealt[cuts[i] : cuts[i + 1]]].tobytes() for i in full], [rare_doc[dealt[cuts[i] : cuts[i + 1]]].astype("<u4").tobytes() for i in full])
