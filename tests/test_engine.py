@@ -195,6 +195,15 @@ def test_empty_flush(engine):
         engine.flush()
 
 
+def test_empty_put(spark, engine):
+    engine.put(spark.createDataFrame([], "series_id string, timestamp long, value double, seq long"))
+    assert engine.snapshot().isEmpty() and engine.pending_bytes() == 0
+    with pytest.raises(ValueError, match="nothing to flush"):
+        engine.flush()
+    put(spark, engine, [("a", 1, 1.0)])
+    assert engine.flush() == 1 and tuples(engine.snapshot()) == [("a", 1, 1.0)]
+
+
 def test_flush_when_full(spark, tmp_path):
     e = Engine(spark, EngineConfig(data_dir=str(tmp_path), memtable_max_size_bytes=60))
     put(spark, e, [("a", i, 1.0) for i in range(2)])
