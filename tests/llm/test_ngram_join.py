@@ -83,6 +83,41 @@ def test_long_lists(spark, monkeypatch, rows_):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out.collect()), key=repr) == brute(rows, 3, 80)
 
 
+@pytest.mark.parametrize(("percent", "task"), [(50, 2), (80, 5), (90, 1)])
+def test_long_lists_in_blocks(spark, monkeypatch, percent, task):
+    """Long lists are dealt out by size and blocks; no link is lost."""
+    rows = made(8, 80)
+    monkeypatch.setattr(J, "LIST_ROWS", 3)
+    monkeypatch.setattr(J, "LIST_TASK", task)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = J.jaccard_join(df, words=3, percent=percent)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out.collect()), key=repr) == brute(rows, 3, percent)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_unrelated_sets_of_a_long_list_are_no_cluster(spark, monkeypatch, percent):
+    """A shingle that the order puts among rare ones, as in large corpora, joins only what the bitmaps let pass."""
+    r = random.Random(5)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join([*passage, *(f"w{r.randrange(10**6)}" for _ in range(r.randrange(90, 260)))]) for _ in range(300)]
+    df = spark.createDataFrame([*enumerate(texts), (300, texts[7] + " more")], "doc_id long, text string")
+    monkeypatch.setattr(J, "LIST_ROWS", 50)
+    rows = J.shingled(df, "doc_id", J.F.lit(None).cast("long"), "text", 3, percent, np.zeros(J.SLOTS, np.uint8))
+    sets = J.durable(rows.select("id", "set", "n", "prefix", "bits"))
+    assert sets.select(J.F.explode("prefix").alias("t")).groupBy("t").count().where("count > 50").count()
+    out = J.candidates(sets, percent).join(sets, "set").select("id").collect()
+    assert sorted(x.id for x in out) == [7, 300]
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_unrelated_bitmaps_do_not_pass(percent):
+    g = np.random.default_rng(1)
+    for n in (60, 127, 255, 256, 511, 1020, 40_000):
+        maps = [np.frombuffer(J.bitmap(np.unique(g.integers(0, 1 << 60, n).astype(np.uint64)), percent), np.uint64) for _ in range(40)]
+        apart = [int(np.bitwise_count(a ^ b).sum()) for i, a in enumerate(maps) for b in maps[:i]]
+        assert (100 + percent) * min(apart) > (100 - percent) * 2 * n
+
+
 def test_empty(spark):
     assert J.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -7,8 +7,8 @@
    ``n - ceil(T n) + 1`` of each. Index lists of these shingles are sorted by size and position
    and cut into blocks; a block pair is skipped when no size and position in it can reach the
    threshold, other pairs are compared by what is left after the shared shingle and by a parity
-   bitmap of the set (its bits that differ are a lower bound of the difference). In very long lists
-   neighbours by size pass unseen. What passes is joined in a forest, whose components, without false
+   bitmap of the set (its bits that differ are a lower bound of the difference). Long lists are
+   dealt out by size, then by pairs of blocks. What passes is joined in a forest, whose components, without false
    negatives, are clusters.
 3. ``links``: inside a cluster every pair is verified on whole sets. A set's overlaps with all others
    are derived from those of the most similar set before it: only lists of the shingles that
@@ -19,11 +19,11 @@ Only forests and counts leave a task, never all pairs of a group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +38,11 @@ SLOTS, CHUNKS = 1 << 20, 64
 #: Bits of the hash that a shingle keeps beneath its level.
 LEVEL_SHIFT = 59
 #: Largest parity bitmap, in bits.
-MAX_BITS = 4096
+MAX_BITS = 1 << 16
 #: Entries in a block of an index list.
 LIST_BLOCK = 256
-#: A list longer than this isn't compared: neighbours by size are linked as candidates, in any number of tasks.
-LIST_ROWS = 1_000
+#: A list longer than this is dealt out by size, and what of it is compared in one go has about LIST_TASK entries at most.
+LIST_ROWS, LIST_TASK = 1_000, 8_192
 #: Sets, and shingles, in a block of a cluster.
 CLUSTER_SETS, CLUSTER_SHINGLES = 512, 1_000_000
 #: Bits of the broadcast filter of sets that are in clusters.
@@ -103,8 +103,12 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bitmap(tokens: np.ndarray, percent: int) -> bytes:
-    """Parity of the tokens in each of a power of two of slots, more for larger sets and lower thresholds."""
-    want = max(64, len(tokens) * (2.5 * (100 - percent) / 100))
+    """Parity of the tokens in each of a power of two of slots, more for larger sets and lower thresholds.
+
+    Unrelated sets differ in half of the bits, which is over twice what the threshold allows: were it near that, a few
+    in a hundred pairs would pass, and on a large corpus join most sets to one cluster.
+    """
+    want = max(64, len(tokens) * (5 * (100 - percent) / 100))
     size = min(MAX_BITS, 1 << int(np.ceil(np.log2(want))))
     odd = np.bincount((mix(tokens) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -183,6 +187,9 @@ def _forest_of_lists(percent: int):
         if (100 + percent) * min(rest[x].max(), rest[y].max()) < percent * (n[x].min() + n[y].min()):
             return  # no pair of these blocks can reach the threshold
         ok = _close(n[x][:, None], rest[x][:, None], n[y], rest[y], percent)
+        if len(x) + len(y) > 64:  # what is in one tree already needs no look
+            r, s = (np.array([forest.root(k) for k in sets[z].tolist()]) for z in (x, y))
+            ok &= r[:, None] != s
         i, j = np.nonzero(ok)
         i, j = x[i], y[j]
         i, j = i[i < j], j[i < j]
@@ -227,55 +234,37 @@ def _words(bits: list[bytes], rows: np.ndarray, words: np.ndarray, size: int) ->
     return out
 
 
-def _chain(percent: int):
-    """Task over a stretch of long lists: neighbours whose sizes are close (kind 0), and the stretch's two ends (1, 2)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = TaskContext.get().partitionId(), None
-
-        def rows(kind: int, token, n, a, b) -> pa.RecordBatch:
-            m = len(a)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind), pa.int32()), pa.array(np.full(m, part), pa.int32()), *(pa.array(x, pa.int64()) for x in (token, n, a, b))], ["kind", "part", "token", "n", "a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            token, n, s = (b.column(c).to_numpy() for c in ("token", "n", "set"))
-            if held is None:
-                yield rows(1, token[:1], n[:1], s[:1], s[:1])
-            else:
-                token, n, s = (np.concatenate((x, y)) for x, y in zip(held, (token, n, s), strict=True))
-            near = (token[:-1] == token[1:]) & (100 * n[:-1] >= percent * n[1:])
-            yield rows(0, token[1:][near], n[1:][near], s[:-1][near], s[1:][near])
-            held = token[-1:], n[-1:], s[-1:]
-        if held is not None:
-            yield rows(2, held[0], held[1], held[2], held[2])
+def _dealt(long: DataFrame, percent: int) -> DataFrame:
+    """Entries of long lists in shorter ones, so that two whose sizes are close meet in one at least.
 
-    return run
-
-
-def _chained(long: DataFrame, percent: int) -> DataFrame:
-    """Candidate links in long lists. Two sets of a list whose sizes are close have only such between them, so they
-    come into one component; the tasks' ends, two rows for each, are joined by the driver."""
-    order = ("token", "n", "set")
-    found = durable(long.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_chain(percent), "kind int, part int, token long, n long, a long, b long"))
-    ends = found.where("kind > 0").orderBy("part", "kind").collect()
-    seams = [(x.a, y.a) for x, y in zip(ends[1:-1:2], ends[2::2], strict=True) if x.token == y.token and 100 * x.n >= percent * y.n]
-    return found.where("kind = 0").select("a", "b").unionByName(long.sparkSession.createDataFrame(seams, "a long, b long"))
+    A size class is a little wider than the threshold's ratio of sizes, so such two are in one class or in neighbours;
+    each list takes a class and the next. What is still long is compared by pairs of blocks.
+    """
+    width = max(math.log(100 / percent) * 1.001, 1e-9)
+    at = F.floor(F.log("n") / F.lit(width))
+    long = long.withColumn("part", F.explode(F.array(at, at - 1)))
+    many = F.ceil(F.col("m") / LIST_TASK).cast("long")
+    many = long.groupBy("token", "part").agg(F.count("*").alias("m")).select("token", "part", many.alias("blocks"))
+    long = long.join(many, ["token", "part"]).withColumn("block", F.pmod(F.xxhash64("set"), "blocks"))
+    long = long.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # Lists that come to share a hash are compared as one.
+    return long.select(F.xxhash64("token", "part", F.least("block", "k"), F.greatest("block", "k")).alias("token"), "set", "n", "rest")
 
 
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
     """``set`` and ``cluster`` of sets that may reach the threshold with another."""
     postings = sets.select("set", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "set", "n", (F.col("n") - F.col("pos")).alias("rest"))
+    # A set that differs from any other in too much for its size has no link.
+    postings = postings.where(100 * F.col("n") >= percent * (F.col("n") + 1))
     order = ("token", "n", "set")
     # Partial counts, so a long list is a row from each mapper here.
     hot = durable(postings.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > LIST_ROWS).select("token"))
     short = postings.join(hot, "token", "left_anti")
     lists = short.repartition("token").sortWithinPartitions(*order).mapInArrow(_list_rows(percent), "token long, set long, n long, rest long")
+    if not hot.isEmpty():
+        lists = lists.unionByName(_dealt(postings.join(hot, "token"), percent))
     with_bits = lists.join(sets.select("set", "bits"), "set").select("token", "set", "n", "rest", "bits")
     edges = with_bits.repartition("token").sortWithinPartitions(*order).mapInArrow(_forest_of_lists(percent), "a long, b long")
-    if not hot.isEmpty():
-        edges = edges.unionByName(_chained(postings.join(hot, "token").select(*order), percent))
     out = components(edges).toDF("set", "cluster")
     release(hot)
     return out
