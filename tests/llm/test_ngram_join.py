@@ -131,6 +131,27 @@ def test_drop_near_copies_judges_rows(spark):
     assert out.columns == df.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_drop_near_copies_shuffles_no_text(spark):
+    """Rows that go are known from a broadcast bitmap, however many they are."""
+    w = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(i, f"{w} {'x' * (i % 2)}" if i % 3 else f"unique {i} of its kind") for i in range(200)], "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = J.drop_near_copies(df)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        assert sorted(r.doc_id for r in out.collect()) == sorted([1, *range(0, 200, 3)])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_drop_near_copies_with_many_gone_rows(spark, monkeypatch):
+    """Beyond MAX_CHUNKS the rows are joined."""
+    df = spark.createDataFrame([(i, "the same text for all" if i % 3 else f"unique {i} of its kind") for i in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(J, "MAX_CHUNKS", 0)
+    assert sorted(r.doc_id for r in J.drop_near_copies(df).collect()) == sorted([1, *range(0, 60, 3)])
+
+
 def test_long_text(spark):
     long = " ".join(f"v{i % 9973}" for i in range(120_000))
     rows = [(1, long), (2, long + " tail"), (3, long[: len(long) // 2]), (4, "short")]

@@ -29,6 +29,12 @@ BITS_A_KEY, CHUNK_BITS = 32, 32768
 MAX_CHUNKS = 1 << 14
 
 
+def bit(bits: str, at: Column) -> Column:
+    """Whether a bit of a bitmap chunk is set; false without a chunk."""
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+
+
 def _maybe(rows: DataFrame, out: str, among: str | None, *key: str) -> DataFrame:
     """``rows`` with ``out``: true if another row (of those where ``among`` holds) has the same key, by chance for others."""
     hashed = F.xxhash64(F.struct(*key))
@@ -42,11 +48,8 @@ def _maybe(rows: DataFrame, out: str, among: str | None, *key: str) -> DataFrame
     placed = again.select(slot.alias("_slot"))
     bitmap = durable(placed.groupBy(F.bitmap_bucket_number("_slot").alias("_chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits")))
     release(again)
-    at = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
     joined = rows.withColumn("_chunk", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmap), "_chunk", "left")
-    return joined.withColumn(out, hit).drop("_key", "_chunk", "_bits")
+    return joined.withColumn(out, bit("_bits", F.bitmap_bit_position(slot))).drop("_key", "_chunk", "_bits")
 
 
 KEY = ("_len", "_prefix", "_full")

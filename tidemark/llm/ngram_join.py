@@ -28,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import bounded_batches
+from tidemark.llm.exact_dedup import MAX_CHUNKS, bit
 from tidemark.llm.graph import Forest, components, stars
 from tidemark.llm.runs import whole_runs
 from tidemark.llm.words import chunks, mix, shingle_sets
-from tidemark.storage import durable, release
+from tidemark.storage import durable, release, sweep
 
 #: Slots of the frequency sketch, and chunks it travels in.
 SLOTS, CHUNKS = 1 << 20, 64
@@ -399,7 +400,9 @@ def _classes(docs: DataFrame, id_col: str, row: Column, text_col: str, words: in
     rows = durable(shingled(docs, id_col, row.cast("long"), text_col, words, percent, levels))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     sets = durable(rows.where("set is not null").groupBy("set", "n").agg(F.count("*").alias("copies"), best, F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
+    sweep(docs.sparkSession)
     clusters = durable(candidates(sets, percent))
+    sweep(docs.sparkSession)
     found = durable(links(docs, text_col, words, percent, levels, sets, clusters))
     comp = durable(components(found.where("kind = 0")))
     degree = found.where("kind = 1").groupBy(F.col("a").alias("set")).agg(F.sum("b").alias("degree"))
@@ -422,8 +425,20 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     x = durable(docs.toDF(*own.values()).withColumn("row", F.monotonically_increasing_id()))
-    gone = _classes(x, own[id_col], F.col("row"), own[text_col], words, percent).where("row != keep").select("row")
-    return x.join(gone, "row", "left_anti").select(*own.values()).toDF(*docs.columns)
+    gone = durable(_classes(x, own[id_col], F.col("row"), own[text_col], words, percent).where("row != keep").select("row"))
+    sweep(docs.sparkSession)
+    return _without(x, gone).select(*own.values()).toDF(*docs.columns)
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` without those whose ``row`` is in ``gone``. Row numbers are dense in each partition, so a broadcast bitmap
+    of 4 KB for 32,768 of them says which, and no text is shuffled; where it had over MAX_CHUNKS chunks they are joined."""
+    slot = F.col("row") + 1
+    bits = durable(gone.groupBy(F.bitmap_bucket_number(slot).alias("_chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits")))
+    if bits.count() > MAX_CHUNKS:
+        return rows.join(gone, "row", "left_anti")
+    asked = rows.withColumn("_chunk", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "_chunk", "left")
+    return asked.where(~bit("_bits", F.bitmap_bit_position(slot))).drop("_chunk", "_bits")
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -68,6 +69,16 @@ def release(df: DataFrame | None) -> None:
         _written.discard(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and broadcasts of plans that are over.
+
+    It does so once the driver's JVM collects their handles, which by itself may not happen before a query ends: each
+    step's shuffles would then lie on disk beside those of all before it.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def clean(spark: SparkSession) -> None:
     """Delete all tables that ``durable`` wrote in this process. Results that haven't been read yet are lost."""
     while _written:
