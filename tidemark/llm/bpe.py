@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow import bounded_batches
+from tidemark.llm.arrow import bounded_batches, kept, lean
 from tidemark.llm.words import chunks
 
 #: Texts up to so many characters are encoded in one piece; longer ones in pieces of so many bytes.
@@ -254,15 +254,10 @@ class TreeEncoder:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
 
-_ENCODERS: dict[tuple, TreeEncoder] = {}
-
-
 def encoder(tokenizer_path: str, leaf_chars: int, window_chars: int) -> TreeEncoder:
-    """The worker's encoder; it outlives a task, and so do the words that it knows."""
+    """The worker's encoder; it outlives a task, and so do the words that it knows, until another operator's task."""
     key = (tokenizer_path, leaf_chars, window_chars)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = TreeEncoder(*key)
-    return _ENCODERS[key]
+    return kept("bpe", key, lambda: TreeEncoder(*key))
 
 
 def encode_decode(
@@ -302,7 +297,7 @@ def encode_decode(
                 yield pa.RecordBatch.from_arrays([part.column("id"), *more.values()], ["id", *more])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = rows.mapInArrow(run, f"id {kind}, {more}")
+    out = rows.mapInArrow(lean("bpe", run), f"id {kind}, {more}")
     return out.withColumnRenamed("id", id_col)
 
 

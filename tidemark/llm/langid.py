@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow import bounded_batches
+from tidemark.llm.arrow import SMALL_BATCH_BYTES, bounded_batches, lean
 from tidemark.llm.words import mix
 
 BUCKETS = 1 << 16
@@ -108,7 +108,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
 
     # The sample is bounded, so this is too: a row for each language and task. Rows are dealt in turn, so that no
     # language lies in one task.
-    got = picked.select("lang", "text").repartition(8).mapInArrow(count, "lang string, counts binary").collect()
+    got = picked.select("lang", "text").repartition(8).mapInArrow(lean("langid", count), "lang string, counts binary").collect()
     total: dict[str, np.ndarray] = {}
     for r in got:
         total[r.lang] = total.get(r.lang, 0) + np.frombuffer(r.counts, "<i8")
@@ -139,7 +139,7 @@ def identify(
     same answer each; an empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
-    bounded_batches(docs.sparkSession)
+    bounded_batches(spark, SMALL_BATCH_BYTES)
     langs, p = train(docs.where(train_rows), id_col, text_col, lang_col, sample_docs)
     model = spark.sparkContext.broadcast((langs, p))
     kinds = dict(docs.dtypes)
@@ -162,7 +162,7 @@ def identify(
             yield pa.RecordBatch.from_arrays([*(b.column(a) for a in named), *more], [*named, "lang_pred", "score", "langs"])
 
     rows = docs.select(*(F.col(c).alias(a) for a, c in zip(named, keep, strict=True)), F.col(text_col).alias("_text"))
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(lean("langid", run), schema)
     return out.withColumnsRenamed(dict(zip(named, keep, strict=True)))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow import bounded_batches
+from tidemark.llm.arrow import SMALL_BATCH_BYTES, bounded_batches, lean
 from tidemark.llm.exact_dedup import MAX_CHUNKS, bit
 from tidemark.llm.graph import Forest, components, stars
 from tidemark.llm.runs import whole_runs
@@ -72,7 +72,7 @@ def shingle_levels(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "counts": pa.array([v.astype("<i8").tobytes()], pa.binary())})
 
     schema = "chunk int, counts binary"
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(count, schema)
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(lean("ngram_join", count), schema)
     # Two rounds, so that no task adds up the counts of all others.
     rows = rows.withColumn("salt", F.spark_partition_id() % 64).repartition("chunk", "salt").drop("salt").mapInArrow(add, schema)
     rows = rows.repartition(16, "chunk").mapInArrow(add, schema)
@@ -141,7 +141,7 @@ def shingled(docs: DataFrame, id_col: str, row: Column, text_col: str, words: in
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["id", "row", "n", "set", "prefix", "bits"])
 
     rows = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, row long, n long, set long, prefix array<long>, bits binary")
+    return rows.mapInArrow(lean("ngram_join", run), f"id {kind}, row long, n long, set long, prefix array<long>, bits binary")
 
 
 def _close(n1, r1, n2, r2, percent: int):
@@ -261,11 +261,11 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
     # Partial counts, so a long list is a row from each mapper here.
     hot = durable(postings.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > LIST_ROWS).select("token"))
     short = postings.join(hot, "token", "left_anti")
-    lists = short.repartition("token").sortWithinPartitions(*order).mapInArrow(_list_rows(percent), "token long, set long, n long, rest long")
+    lists = short.repartition("token").sortWithinPartitions(*order).mapInArrow(lean("ngram_join", _list_rows(percent)), "token long, set long, n long, rest long")
     if not hot.isEmpty():
         lists = lists.unionByName(_dealt(postings.join(hot, "token"), percent))
     with_bits = lists.join(sets.select("set", "bits"), "set").select("token", "set", "n", "rest", "bits")
-    edges = with_bits.repartition("token").sortWithinPartitions(*order).mapInArrow(_forest_of_lists(percent), "a long, b long")
+    edges = with_bits.repartition("token").sortWithinPartitions(*order).mapInArrow(lean("ngram_join", _forest_of_lists(percent)), "a long, b long")
     out = components(edges).toDF("set", "cluster")
     release(hot)
     return out
@@ -366,7 +366,7 @@ def links(docs: DataFrame, text_col: str, words: int, percent: int, levels: np.n
                             tokens.append(t.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tokens, pa.binary())], ["set", "tokens"])
 
-    whole = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(run, "set long, tokens binary")
+    whole = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(lean("ngram_join", run), "set long, tokens binary")
     whole = whole.groupBy("set").agg(F.first("tokens").alias("tokens"))
     member = clusters.join(sets.select("set", "n", "copies"), "set")
     sizes = member.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("all_n"))
@@ -375,7 +375,7 @@ def links(docs: DataFrame, text_col: str, words: int, percent: int, levels: np.n
     rows = dealt.join(whole, "set").select("cluster", "set", "copies", "block", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
     rows = rows.select("cluster", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "set", "copies", "block", "tokens")
     key = ("cluster", "i", "j")
-    return rows.repartition(*key).sortWithinPartitions(*key, "set").mapInArrow(_cluster_links(percent), "kind int, a long, b long")
+    return rows.repartition(*key).sortWithinPartitions(*key, "set").mapInArrow(lean("ngram_join", _cluster_links(percent)), "kind int, a long, b long")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -395,7 +395,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _classes(docs: DataFrame, id_col: str, row: Column, text_col: str, words: int, percent: int) -> DataFrame:
     """``id``, ``row``, ``n``, ``component_id``, ``n_links`` and ``keep`` (the ``row`` of its class that stays)."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, SMALL_BATCH_BYTES)
     levels = shingle_levels(docs, text_col, words)
     rows = durable(shingled(docs, id_col, row.cast("long"), text_col, words, percent, levels))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
