@@ -260,6 +260,7 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
     order = ("token", "n", "set")
     # Partial counts, so a long list is a row from each mapper here.
     hot = durable(postings.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > LIST_ROWS).select("token"))
+    sweep(sets.sparkSession)
     short = postings.join(hot, "token", "left_anti")
     lists = short.repartition("token").sortWithinPartitions(*order).mapInArrow(lean("ngram_join", _list_rows(percent)), "token long, set long, n long, rest long")
     if not hot.isEmpty():
@@ -400,6 +401,9 @@ def _classes(docs: DataFrame, id_col: str, row: Column, text_col: str, words: in
     rows = durable(shingled(docs, id_col, row.cast("long"), text_col, words, percent, levels))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     sets = durable(rows.where("set is not null").groupBy("set", "n").agg(F.count("*").alias("copies"), best, F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
+    # Prefixes and bitmaps are in the table of sets now.
+    narrow = durable(rows.select("id", "row", "n", "set"))
+    release(rows)
     sweep(docs.sparkSession)
     clusters = durable(candidates(sets, percent))
     sweep(docs.sparkSession)
@@ -411,8 +415,8 @@ def _classes(docs: DataFrame, id_col: str, row: Column, text_col: str, words: in
     answer = durable(named.drop("best").join(smallest, "component").join(degree, "set", "left").select("set", F.col("best.id").alias("component_id"), F.col("best.row").alias("keep"), (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links")))
     for x in (clusters, found, comp, sets):
         release(x)
-    some = rows.where("set is not null").select("id", "row", "n", "set").join(answer, "set").select("id", "row", "n", "component_id", "n_links", "keep")
-    none = rows.where("set is null").select("id", "row", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.col("row").alias("keep"))
+    some = narrow.where("set is not null").select("id", "row", "n", "set").join(answer, "set").select("id", "row", "n", "component_id", "n_links", "keep")
+    none = narrow.where("set is null").select("id", "row", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.col("row").alias("keep"))
     return some.unionByName(none)
 
 
