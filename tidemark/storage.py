@@ -13,11 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 _written: set[str] = set()
 
 
+def _one_machine(spark: SparkSession) -> bool:
+    """Whether the driver is the only executor."""
+    return bool(re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset, on one machine only, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not _one_machine(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", at)
@@ -70,13 +75,18 @@ def release(df: DataFrame | None) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files and broadcasts of plans that are over.
+    """Let Spark delete the shuffle files and broadcasts of plans that are over, and executors return memory.
 
-    It does so once the driver's JVM collects their handles, which by itself may not happen before a query ends: each
-    step's shuffles would then lie on disk beside those of all before it.
+    The former happens once the driver's JVM collects their handles, which by itself may not happen before a query
+    ends: each step's shuffles would then lie on disk beside those of all before it. An executor's heap fills
+    before it is collected and keeps that size, beside Python workers that need the memory; a full collection gives
+    back what isn't used. A task for each core, all at once, reaches every executor that is idle.
     """
     gc.collect()
     spark._jvm.System.gc()
+    if not _one_machine(spark):
+        cores = spark.sparkContext.defaultParallelism
+        spark.range(0, cores, 1, cores).selectExpr("java_method('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
 
 
 def clean(spark: SparkSession) -> None:
