@@ -212,6 +212,16 @@ def test_flush_when_full(spark, tmp_path):
     assert segments.manifest(spark, e.config.manifest_dir).count() == 1
 
 
+def test_flush_after_a_put_that_flushed(spark, tmp_path):
+    e = Engine(spark, EngineConfig(data_dir=str(tmp_path), memtable_max_size_bytes=60))
+    put(spark, e, [("a", i, 1.0) for i in range(3)])
+    assert e.flush() == 0 == e.flush()
+    e.put(spark.createDataFrame([], "series_id string, timestamp long, value double, seq long"))
+    assert e.flush() == 0 and segments.manifest(spark, e.config.manifest_dir).count() == 1
+    put(spark, e, [("a", 0, 2.0)])
+    assert e.flush() == 2 and tuples(e.snapshot()) == [("a", 0, 2.0), ("a", 1, 1.0), ("a", 2, 1.0)]
+
+
 def test_appends_after_corruption_are_replayed(spark, engine):
     put(spark, engine, [("a", i, float(i)) for i in range(3)])
     path = f"{engine.config.wal_dir}/log_gen=0"

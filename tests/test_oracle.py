@@ -35,6 +35,14 @@ def test_matches_sql(spark, name):
     compare(spark, "/root/testdata/sf0.001", catalogue.queries()[name], catalogue.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", ["engine_compact_scan"])
+def test_matches_sql_when_each_batch_fills_the_table(spark, name, monkeypatch):
+    engine, made = catalogue._engine, []
+    monkeypatch.setattr(catalogue, "_engine", lambda s, **settings: made.append(engine(s, memtable_max_size_bytes=1000, **settings)) or made[-1])
+    compare(spark, "/root/testdata/sf0.001", catalogue.queries()[name], catalogue.oracle_sql()[name])
+    assert made and made[0].pending_bytes() == 0
+
+
 def test_every_query_has_sql():
     assert catalogue.queries().keys() == catalogue.oracle_sql().keys()
 

@@ -111,15 +111,22 @@ class Engine:
         return full
 
     def flush(self) -> int:
-        """Write the pending points as a segment, publish it, return its generation."""
+        """Write the pending points as a segment, publish it, return its generation.
+
+        A put or a batch that fills the table has flushed by itself; without writes since then nothing is
+        written and the newest flushed generation is returned. It is an error only before the first write.
+        """
         self.sync()
-        generations = [g.gen for g in self._pending()]
-        if not generations:
-            raise ValueError("nothing to flush")
+        pending = self._pending()
+        if not any(g.size_bytes for g in pending):
+            if (flushed := self._flushed()) < 0:
+                raise ValueError("nothing to flush")
+            return flushed
+        generations = [g.gen for g in pending]
         gen = generations[-1]
-        pending = wal.replay(self.spark, self.config.wal_dir, generations)
-        points = reads.latest(pending, "gen", "seq").withColumn("gen", F.lit(gen).cast("bigint"))
-        self._publish(points, gen, [], pending)
+        rows = wal.replay(self.spark, self.config.wal_dir, generations)
+        points = reads.latest(rows, "gen", "seq").withColumn("gen", F.lit(gen).cast("bigint"))
+        self._publish(points, gen, [], rows)
         return gen
 
     def _publish(self, points: DataFrame, gen: int, sources: list[str], rows: DataFrame) -> None:
