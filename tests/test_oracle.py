@@ -35,7 +35,7 @@ def test_matches_sql(spark, name):
     compare(spark, "/root/testdata/sf0.001", catalogue.queries()[name], catalogue.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["engine_compact_scan", "engine_flush_get"])
+@pytest.mark.parametrize("name", ["engine_compact_scan", "engine_flush_get", "engine_ingest"])
 def test_matches_sql_when_each_batch_fills_the_table(spark, name, monkeypatch):
     engine, made = catalogue._engine, []
     monkeypatch.setattr(catalogue, "_engine", lambda s, **settings: made.append(engine(s, memtable_max_size_bytes=1000, **settings)) or made[-1])
